@@ -210,7 +210,7 @@ def forecasts(spark, folder) -> DataFrame:
     level = recent.groupBy("store_nbr", "family").agg(
         F.avg("sales").alias("_m"), F.stddev_pop("sales").alias("_s")
     )
-    shape = F.lit(1.0) + F.lit(0.01) * F.dayofmonth("date")
+    shape = F.lit(1.0) + F.lit(0.1) * F.sin(F.dayofmonth("date"))
     point = F.col("_m") * shape
     return future(spark, folder).join(level, ["store_nbr", "family"]).select(
         "date",
@@ -226,7 +226,7 @@ FORECASTS = """forecasts AS (
   SELECT f.date, f.store_nbr, f.family, m * sh AS forecast,
          m * sh - CAST(1.2815515655446004 AS DOUBLE) * s AS forecast_lo,
          m * sh + CAST(1.2815515655446004 AS DOUBLE) * s AS forecast_hi
-  FROM (SELECT *, CAST(1.0 AS DOUBLE) + CAST(0.01 AS DOUBLE) * day(date) AS sh FROM future) f
+  FROM (SELECT *, CAST(1.0 AS DOUBLE) + CAST(0.1 AS DOUBLE) * sin(day(date)) AS sh FROM future) f
   JOIN (SELECT store_nbr, family, AVG(sales) AS m, STDDEV_POP(sales) AS s
         FROM (SELECT *, row_number() OVER (PARTITION BY store_nbr, family ORDER BY date DESC) AS r FROM panel)
         WHERE r <= 30 GROUP BY 1, 2) l ON f.store_nbr = l.store_nbr AND f.family = l.family)"""
