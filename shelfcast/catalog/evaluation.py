@@ -247,12 +247,12 @@ MODELS = {
 def w16(spark, folder):
     w = Window.partitionBy("store_nbr", "family").orderBy("date")
     lag = {"lag 7": 7, "lag 14": 14, "lag 1": 1, "last value": 1}
-    # all models side by side in one pass over the panel
-    wide = src.panel(spark, folder).select(
-        F.col("sales").alias("actual"),
-        F.explode(
-            F.array(*[F.struct(F.lit(m).alias("model"), F.lag("sales", k).over(w).alias("p")) for m, k in lag.items()])
-        ).alias("_m"),
+    # all models side by side: one pass over the panel, then one row per model
+    lagged = src.panel(spark, folder).select(
+        F.col("sales").alias("actual"), *[F.lag("sales", k).over(w).alias(m) for m, k in lag.items()]
+    )
+    wide = lagged.select(
+        "actual", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("p")) for m in lag])).alias("_m")
     )
     pairs = wide.select("_m.model", "actual", F.col("_m.p").alias("predicted"))
     return rounded(evaluation.compare_models(evaluation.accuracy(pairs, ("wmape",), by=["model"])).drop("n"))

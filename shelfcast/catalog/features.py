@@ -113,7 +113,7 @@ PAST_NAMES = [c for c in ROLL_NAMES if c.endswith("_30")]
     ),
 )
 def w3_past(spark, folder):
-    df = features.add_rolling(src.panel(spark, folder), windows=(30,), include_current=False, fill=False)
+    df = features.add_rolling(src.panel(spark, folder), windows=(30,), gap=1, fill=False)
     return rounded(df.select(*ID, *PAST_NAMES))
 
 

@@ -1 +1,312 @@
-"""Registered queries."""
+"""Split, model and forecast queries."""
+
+from pyspark.sql import functions as F
+
+from shelfcast.catalog import inputs as src
+from shelfcast.catalog.inputs import rounded
+from shelfcast.catalog.registry import query
+from shelfcast.catalog.sqltext import BY_DATE, KEYS, b, r, with_
+from shelfcast.functions.stats import z_value
+from shelfcast.operators import bands
+from shelfcast.plans import training
+from shelfcast.plans.durable import durable
+from shelfcast.plans.folds import label_slices
+from shelfcast.plans.forecasting import forecast
+
+SERIES = ["store_nbr", "family"]
+TREES = {"maxIter": 5, "maxDepth": 4}
+FOREST = {"numTrees": 5, "maxDepth": 4}
+
+
+@query(
+    "F1_chronological_split",
+    with_(
+        [
+            src.PANEL,
+            """days AS (SELECT date, COUNT(*) AS c FROM panel GROUP BY 1),
+            run AS (SELECT date, SUM(c) OVER (ORDER BY date) AS upto, SUM(c) OVER () AS n FROM days),
+            cut AS (SELECT MIN(date) AS d FROM run WHERE upto > floor(CAST(0.8 AS DOUBLE) * n))""",
+        ],
+        """SELECT CASE WHEN date <= d THEN 'train' ELSE 'holdout' END AS slice, COUNT(*) AS rows, MIN(date) AS first_date,
+        MAX(date) AS last_date FROM panel, cut GROUP BY 1""",
+    ),
+)
+def f1(spark, folder):
+    return label_slices(src.panel(spark, folder)).groupBy("slice").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
+    )
+
+
+@query(
+    "F12_backtest_of_series_mean",
+    with_(
+        [
+            src.PANEL,
+            """days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, COUNT(*) OVER () AS u FROM (SELECT DISTINCT date FROM panel)),
+            pos AS (SELECT DISTINCT CAST(trunc(trunc(u * 0.5) + k * ((u - 31) - trunc(u * 0.5)) / 4.0) AS BIGINT) AS c, u
+                    FROM (SELECT MAX(u) AS u FROM days), (SELECT unnest([0, 1, 2, 3, 4]) AS k)),
+            folds AS (SELECT row_number() OVER (ORDER BY c) AS fold, a.date AS cutoff, e.date AS test_end
+                      FROM pos JOIN days a ON a.i = c JOIN days e ON e.i = least(c + 30, pos.u - 1)),
+            means AS (SELECT fold, store_nbr, family, AVG(sales) AS m, COUNT(*) AS n FROM folds JOIN panel ON date <= cutoff GROUP BY 1, 2, 3),
+            tested AS (SELECT f.fold, cutoff, sales, greatest(COALESCE(m, 0), 0) AS m FROM folds f
+                       JOIN panel p ON p.date > cutoff AND p.date <= test_end
+                       LEFT JOIN means q ON q.fold = f.fold AND q.store_nbr = p.store_nbr AND q.family = p.family)""",
+        ],
+        """SELECT fold, cutoff, (SELECT CAST(SUM(n) AS BIGINT) FROM means x WHERE x.fold = t.fold) AS n_train, COUNT(*) AS n_test,
+        round(SUM(ABS(sales - m)) / greatest(SUM(ABS(sales)), 1e-9) * 100, 3) AS wmape,
+        round(AVG(ABS(sales - m)), 3) AS mae FROM tested t GROUP BY fold, cutoff""",
+    ),
+)
+def f12(spark, folder):
+    return rounded(training.mean_backtest(durable(src.panel(spark, folder))), 3)
+
+
+# bands and ensembles on the seven-row-lag prediction
+
+HELD = """held AS (SELECT *, predicted AS prediction, actual - predicted AS residual FROM predictions),
+offs AS (SELECT store_nbr, family, quantile_cont(residual, 0.1) AS r10, quantile_cont(residual, 0.5) AS r50,
+  quantile_cont(residual, 0.9) AS r90 FROM held GROUP BY 1, 2)"""
+
+
+def held(spark, folder):
+    return src.predictions(spark, folder).select(
+        "date", *SERIES, F.col("predicted").alias("prediction"), (F.col("actual") - F.col("predicted")).alias("residual")
+    )
+
+
+@query("F4_points_clipped", with_([src.PANEL, src.PREDICTIONS, HELD],
+                                  f"SELECT {KEYS}, {r('greatest(residual, 0)', 'residual')} FROM held"))
+def f4(spark, folder):
+    return rounded(bands.clip_points(held(spark, folder), "residual").drop("prediction"))
+
+
+@query(
+    "F5_residual_offsets",
+    with_([src.PANEL, src.PREDICTIONS, HELD],
+          f"SELECT {b('store_nbr', 'store_nbr')}, family, {r('r10', 'r10')}, {r('r50', 'r50')}, {r('r90', 'r90')} FROM offs"),
+)
+def f5(spark, folder):
+    return rounded(bands.residual_offsets(held(spark, folder), SERIES))
+
+
+QUANTILE_SQL = ", ".join(
+    r(f"list_sort([greatest(prediction + r10, 0), greatest(prediction + r50, 0), greatest(prediction + r90, 0)])[{i}]", c)
+    for i, c in enumerate(bands.QUANTILES, 1)
+)
+
+
+@query("F6_quantile_forecast", with_([src.PANEL, src.PREDICTIONS, HELD],
+                                     f"SELECT {KEYS}, {QUANTILE_SQL} FROM held JOIN offs USING (store_nbr, family)"))
+def f6(spark, folder):
+    df = held(spark, folder)
+    offsets = durable(bands.residual_offsets(df, SERIES))
+    out = bands.residual_quantiles(df, offsets, SERIES)
+    return rounded(out.select("date", *SERIES, *bands.QUANTILES))
+
+
+@query(
+    "F7_interval",
+    with_(
+        [src.PANEL, src.PREDICTIONS, HELD],
+        f"""SELECT {KEYS}, {r(f'greatest(prediction - CAST({z_value(0.95)!r} AS DOUBLE) * s, 0)', 'lower')},
+        {r(f'prediction + CAST({z_value(0.95)!r} AS DOUBLE) * s', 'upper')}
+        FROM held, (SELECT STDDEV_POP(prediction) * 0.1 AS s FROM held)""",
+    ),
+)
+def f7(spark, folder):
+    df = bands.normal_interval(held(spark, folder), 0.90)
+    return rounded(df.select("date", *SERIES, "lower", "upper"))
+
+
+@query(
+    "F7_interval_from_residuals",
+    with_(
+        [src.PANEL, src.PREDICTIONS, HELD],
+        f"""SELECT {KEYS}, {r(f'greatest(prediction - CAST({z_value(0.975)!r} AS DOUBLE) * s, 0)', 'lower')},
+        {r(f'prediction + CAST({z_value(0.975)!r} AS DOUBLE) * s', 'upper')}
+        FROM held, (SELECT STDDEV_POP(residual) AS s FROM held)""",
+    ),
+)
+def f7_residual(spark, folder):
+    df = held(spark, folder)
+    df = bands.normal_interval(df, 0.95, df.agg(F.stddev_pop("residual")).scalar())
+    return rounded(df.select("date", *SERIES, "lower", "upper"))
+
+
+@query("F8_heuristic_band", with_([src.PANEL, src.PREDICTIONS, HELD],
+                                  f"SELECT {KEYS}, {r('prediction * 0.9', 'lower')}, {r('prediction * 1.1', 'upper')} FROM held"))
+def f8(spark, folder):
+    return rounded(bands.heuristic_band(held(spark, folder)).select("date", *SERIES, "lower", "upper"))
+
+
+MEMBERS = f"""two AS (SELECT date, store_nbr, family, lag(sales, 7) OVER ({BY_DATE}) AS a, lag(sales, 14) OVER ({BY_DATE}) AS b FROM panel)"""
+
+
+def members(spark, folder):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*SERIES).orderBy("date")
+    df = src.panel(spark, folder).select(
+        "date", *SERIES, F.lag("sales", 7).over(w).alias("a"), F.lag("sales", 14).over(w).alias("b")
+    ).where(F.col("b").isNotNull())
+    return df
+
+
+@query("F9_ensemble_points", with_([src.PANEL, MEMBERS], f"SELECT {KEYS}, {r('greatest(a * 0.75 + b * 0.25, 0)', 'prediction')} FROM two WHERE b IS NOT NULL"))
+def f9(spark, folder):
+    df, keys = members(spark, folder), ["date", *SERIES]
+    parts = {n: df.select(*keys, F.col(n).alias("prediction")) for n in "ab"}
+    return rounded(bands.combine(parts, keys, {"a": 3.0}))
+
+
+@query(
+    "F9_ensemble_quantiles",
+    with_(
+        [src.PANEL, MEMBERS],
+        f"""SELECT {KEYS}, """
+        + ", ".join(
+            r(
+                f"""list_sort([greatest((a * 0.8 + b * 1.2) / 2, 0), greatest((a + b) / 2, 0),
+                greatest((a * 1.3 + b * 0.9) / 2, 0)])[{i}]""",
+                c,
+            )
+            for i, c in enumerate(bands.QUANTILES, 1)
+        )
+        + " FROM two WHERE b IS NOT NULL",
+    ),
+)
+def f9_quantiles(spark, folder):
+    df, keys = members(spark, folder), ["date", *SERIES]
+    shape = {"a": (0.8, 1.0, 1.3), "b": (1.2, 1.0, 0.9)}
+    parts = {
+        n: df.select(*keys, *[(F.col(n) * F.lit(k)).alias(c) for k, c in zip(shape[n], bands.QUANTILES)]) for n in "ab"
+    }
+    return rounded(bands.combine(parts, keys, columns=bands.QUANTILES))
+
+
+# MLlib jobs: rows only
+
+
+def _inputs(spark, folder):
+    return src.panel(spark, folder), src.oil(spark, folder), src.holidays(spark, folder)
+
+
+def _matrix(spark, folder):
+    features = training.model_features(*_inputs(spark, folder))
+    columns = training.feature_columns(features)
+    return training.training_matrix(features, columns), columns
+
+
+def _predictions(model, matrix):
+    report = training.predict(model, matrix.where(F.col("slice") == "report"))
+    return rounded(report.select("date", *SERIES, F.col("label").alias("actual"), "prediction"))
+
+
+@query("F2_boosted_trees")
+def f2(spark, folder):
+    matrix, _ = _matrix(spark, folder)
+    return _predictions(training.fit_boosted(matrix, **TREES), matrix)
+
+
+@query("F2_tweedie_glm")
+def f2_glm(spark, folder):
+    matrix, _ = _matrix(spark, folder)
+    return _predictions(training.fit(training.tweedie_glm(), matrix.where(F.col("slice") == "train")), matrix)
+
+
+@query("F3_random_forest")
+def f3(spark, folder):
+    matrix, _ = _matrix(spark, folder)
+    return _predictions(training.fit(training.random_forest(**FOREST), matrix.where(F.col("slice") == "train")), matrix)
+
+
+@query("F10_search")
+def f10(spark, folder):
+    matrix, _ = _matrix(spark, folder)
+    small = {"maxIter": (2, 4), "maxDepth": (2, 4), "stepSize": (0.05, 0.3)}
+    return rounded(training.tune(matrix, trials=2, folds=3, ranges=small))
+
+
+@query("F11_cross_validation")
+def f11(spark, folder):
+    matrix, _ = _matrix(spark, folder)
+    return rounded(training.cross_validate(matrix, lambda: training.random_forest(**FOREST), folds=3))
+
+
+@query("F12_backtest_of_model")
+def f12_model(spark, folder):
+    """The factory argument is the user's own estimator."""
+    matrix, _ = _matrix(spark, folder)
+    return rounded(training.rolling_backtest(matrix, lambda: training.random_forest(**FOREST), n_splits=3))
+
+
+@query("F13_importance")
+def f13(spark, folder):
+    matrix, columns = _matrix(spark, folder)
+    model = training.fit(training.random_forest(**FOREST), matrix.where(F.col("slice") == "train"))
+    return training.top_features(training.importance(model, columns, spark), 20)
+
+
+@query("F14_saved_model")
+def f14(spark, folder):
+    from shelfcast.catalog.tables import scratch
+
+    matrix, columns = _matrix(spark, folder)
+    model = training.fit(training.random_forest(**FOREST), matrix.where(F.col("slice") == "train"))
+    path = training.save_model(model, scratch(spark, "model"), spark, "forest", columns)
+    return _predictions(training.load_model(path), matrix)
+
+
+def _train(spark, folder):
+    return training.train(*_inputs(spark, folder), trees=TREES, forest=FOREST)
+
+
+@query("F15_forecast")
+def f15(spark, folder):
+    history, oil, holidays = _inputs(spark, folder)
+    return rounded(forecast(history, src.future(spark, folder), _train(spark, folder), oil, holidays))
+
+
+@query("F16_training")
+def f16(spark, folder):
+    metrics = _train(spark, folder)["metrics"]
+    return spark.createDataFrame(sorted((k, float(v)) for k, v in metrics.items()), "metric string, value double")
+
+
+# W15 and T4 on relevance instead of a fitted model, so that SQL can follow
+
+RELEVANCE = f"""l AS (SELECT sales, onpromotion, lag(sales, 1) OVER ({BY_DATE}) AS lag_1, lag(sales, 7) OVER ({BY_DATE}) AS lag_7,
+  lag(sales, 14) OVER ({BY_DATE}) AS lag_14 FROM panel),
+imp AS (SELECT feature, importance FROM (SELECT ABS(corr(onpromotion, sales)) AS onpromotion, ABS(corr(lag_1, sales)) AS lag_1,
+  ABS(corr(lag_7, sales)) AS lag_7, ABS(corr(lag_14, sales)) AS lag_14 FROM l)
+  UNPIVOT (importance FOR feature IN (onpromotion, lag_1, lag_7, lag_14)))"""
+
+
+def relevance(spark, folder):
+    from pyspark.sql import Window
+
+    from shelfcast.operators.features import feature_relevance
+
+    w = Window.partitionBy(*SERIES).orderBy("date")
+    df = src.panel(spark, folder).select(
+        "sales", "onpromotion", *[F.lag("sales", k).over(w).alias(f"lag_{k}") for k in (1, 7, 14)]
+    )
+    table = feature_relevance(df, ["onpromotion", "lag_1", "lag_7", "lag_14"])
+    return table.withColumnRenamed("relevance", "importance")
+
+
+@query(
+    "W15_cumulative_importance",
+    with_(
+        [src.PANEL, RELEVANCE],
+        f"""SELECT feature, {r('importance', 'importance')}, {r('importance / SUM(importance) OVER ()', 'share')},
+        {r('SUM(importance) OVER (ORDER BY importance DESC, feature) / SUM(importance) OVER ()', 'cumulative_share')} FROM imp""",
+    ),
+)
+def w15(spark, folder):
+    return rounded(training.cumulative_importance(relevance(spark, folder)))
+
+
+@query("T4_top_features", with_([src.PANEL, RELEVANCE], f"SELECT feature, {r('importance', 'importance')} FROM imp ORDER BY 2 DESC, 1 LIMIT 3"))
+def t4(spark, folder):
+    return rounded(training.top_features(relevance(spark, folder), 3))

@@ -56,7 +56,7 @@ def residual_quantiles(points: DataFrame, offsets: DataFrame, keys, column: str
     joined = points.join(offsets, list(keys), "left")
     moved = [F.col(column) + F.coalesce(r, F.lit(0.0)) for r in ("r10", "r50", "r90")]
     fixed = sorted_quantiles(*moved)
-    return joined.drop("r10", "r50", "r90").withColumns(dict(zip(QUANTILES, fixed)))
+    return joined.withColumns(dict(zip(QUANTILES, fixed))).drop("r10", "r50", "r90")
 
 
 def ensemble_weights(names, weights=None) -> dict[str, float]:

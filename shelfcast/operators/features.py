@@ -23,9 +23,9 @@ def series_window(df: DataFrame, cols: PanelColumns = PANEL):
     return Window.partitionBy(*cols.series_in(df.columns)).orderBy(cols.date)
 
 
-def trailing(window, rows: int, include_current: bool = True):
-    """The last ``rows`` rows, ending at the current or at the previous one."""
-    return window.rowsBetween(-(rows - 1), 0) if include_current else window.rowsBetween(-rows, -1)
+def trailing(window, rows: int, gap: int = 0):
+    """``rows`` rows ending ``gap`` rows back: 0 includes the current row, 1 leaves it out."""
+    return window.rowsBetween(-(rows - 1) - gap, -gap)
 
 
 def grain_violations(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
@@ -107,11 +107,11 @@ def lag_columns(window, cols: PanelColumns = PANEL, lags=LAGS, promo_lags=PROMO_
     return out
 
 
-def rolling_columns(window, cols: PanelColumns = PANEL, windows=WINDOWS, include_current=True) -> dict[str, Column]:
+def rolling_columns(window, cols: PanelColumns = PANEL, windows=WINDOWS, gap: int = 0) -> dict[str, Column]:
     """Mean, sample std, min and max over trailing rows, from the first row on."""
     out = {}
     for n in windows:
-        frame = trailing(window, n, include_current)
+        frame = trailing(window, n, gap)
         for name, fn in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)):
             out[f"{cols.target}_rolling_{name}_{n}"] = fn(cols.target).over(frame)
     return out
@@ -123,11 +123,14 @@ def add_lags(df: DataFrame, cols: PanelColumns = PANEL, lags=LAGS, promo_lags=PR
     return df.withColumns(lag_columns(series_window(df, cols), cols, lags, promo_lags))
 
 
-def add_rolling(df: DataFrame, cols: PanelColumns = PANEL, windows=WINDOWS, include_current=True,
+def add_rolling(df: DataFrame, cols: PanelColumns = PANEL, windows=WINDOWS, gap: int = 0,
                 fill: bool = True) -> DataFrame:
-    """Rolling statistics; ``fill`` carries the last known value forward inside the series."""
+    """Rolling statistics; ``fill`` carries the last known value forward inside the series.
+
+    With ``gap=0`` the current target is part of its own features; models use a gap of at least 1.
+    """
     window = series_window(df, cols)
-    rolled = df.withColumns(rolling_columns(window, cols, windows, include_current))
+    rolled = df.withColumns(rolling_columns(window, cols, windows, gap))
     return fill_forward(rolled, [c for c in rolled.columns if c not in df.columns], cols) if fill else rolled
 
 

@@ -10,14 +10,14 @@ from shelfcast.plans.durable import durable
 
 
 def engineer(panel: DataFrame, oil: DataFrame | None = None, holidays: DataFrame | None = None,
-             transactions: DataFrame | None = None, include_current: bool = True, series_mean: bool = True,
+             transactions: DataFrame | None = None, gap: int = 0, series_mean: bool = True,
              lags=features.LAGS, windows=features.WINDOWS, cols: PanelColumns = PANEL) -> DataFrame:
     """All features of a daily panel.
 
     Day-level tables come in with one join, transactions with another, and every series feature
     uses the same partitioning and order, so the panel is shuffled once for all of them.
-    Models use ``include_current=False`` and ``series_mean=False``, so that no feature holds the
-    value to be predicted.
+    Models use a ``gap`` and lags of at least the forecast horizon and ``series_mean=False``, so
+    that no feature holds a value that is unknown when the forecast is made.
     """
     df = panel
     if oil is not None or holidays is not None:
@@ -29,7 +29,7 @@ def engineer(panel: DataFrame, oil: DataFrame | None = None, holidays: DataFrame
     df = df.withColumns(
         {
             **features.lag_columns(window, cols, lags),
-            **features.rolling_columns(window, cols, windows, include_current),
+            **features.rolling_columns(window, cols, windows, gap),
             **features.promo_columns(window, cols),
         }
     )

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.columns import PANEL, PanelColumns
+from shelfcast.operators import bands
+from shelfcast.operators.profile import align_columns
 
 
 def history_with_future(history: DataFrame, future: DataFrame, lookback: int, future_target: float | None = None,
@@ -18,3 +20,25 @@ def history_with_future(history: DataFrame, future: DataFrame, lookback: int, fu
     past = history.where(F.col(cols.date) > cut).withColumn("is_future", F.lit(False))
     ahead = future.withColumn(cols.target, F.lit(future_target).cast("double")).withColumn("is_future", F.lit(True))
     return past.unionByName(ahead, allowMissingColumns=True)
+
+
+def forecast(history: DataFrame, future: DataFrame, trained: dict, oil=None, holidays=None, horizon: int = 30,
+             lookback: int = 365 + 90, weights=None, name: str = "ensemble", cols: PanelColumns = PANEL) -> DataFrame:
+    """Point and P10/P50/P90 forecasts of the future rows.
+
+    Features are built on history and future together and only future rows are scored; every
+    feature reaches back at least the horizon, so no forecast rests on another one.
+    """
+    from shelfcast.plans.training import ensemble_predict, model_features, assemble
+
+    stacked = history_with_future(history, future, lookback, cols=cols)
+    wide = model_features(stacked.drop("is_future"), oil, holidays, None, horizon, cols=cols)
+    last = history.agg(F.max(cols.date)).scalar()
+    ahead = wide.where(F.col(cols.date) > last)
+    aligned = align_columns(ahead, trained["columns"], [*cols.grain, cols.target])
+    rows = assemble(aligned, trained["columns"], cols)
+    points = ensemble_predict(trained["models"], rows, weights, cols)
+    banded = bands.residual_quantiles(points, trained["offsets"], cols.series)
+    return banded.select(
+        *cols.grain, F.col("prediction").alias("forecast"), *bands.QUANTILES, F.lit(name).alias("model")
+    )

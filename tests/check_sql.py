@@ -19,7 +19,7 @@ spark = (
     .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
     .config("spark.sql.session.timeZone", "UTC").getOrCreate()
 )
-spark.sparkContext.setLogLevel("ERROR")
+spark.sparkContext.setLogLevel("OFF")
 con, sql, bad, n = connect(folder), entry.oracle_sql(), 0, 0
 for name, fn in entry.queries().items():
     if prefixes and not name.startswith(prefixes):
