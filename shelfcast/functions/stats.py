@@ -10,24 +10,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Coefficients of P. J. Acklam's rational approximation to the inverse normal CDF.
-ACKLAM_CENTRE_NUM = (
-    -3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02,
-    1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00,
+# Coefficients of Wichura's algorithm AS 241 for normal percentage points (Applied
+# Statistics 37, 1988), highest power first: numerator and denominator near the centre, in the
+# tails, and in the far tails.
+CENTRE = (
+    (2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457,
+     13731.693765509461125, 1971.5909503065514427, 133.14166789178437745, 3.3871328727963666080),
+    (5226.4952788528545610, 28729.085735721942674, 39307.895800092710610, 21213.794301586595867,
+     5394.1960214247511077, 687.18700749205790830, 42.313330701600911252, 1.0),
 )
-ACKLAM_CENTRE_DEN = (
-    -5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02,
-    6.680131188771972e01, -1.328068155288572e01, 1.0,
+TAIL = (
+    (7.74545014278341407640e-4, 0.0227238449892691845833, 0.241780725177450611770, 1.27045825245236838258,
+     3.64784832476320460504, 5.76949722146069140550, 4.63033784615654529590, 1.42343711074968357734),
+    (1.05075007164441684324e-9, 5.475938084995344946e-4, 0.0151986665636164571966, 0.148103976427480074590,
+     0.689767334985100004550, 1.67638483018380384940, 2.05319162663775882187, 1.0),
 )
-ACKLAM_TAIL_NUM = (
-    -7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00,
-    -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00,
+FAR_TAIL = (
+    (2.01033439929228813265e-7, 2.71155556874348757815e-5, 0.00124266094738807843860, 0.0265321895265761230930,
+     0.296560571828504891230, 1.78482653991729133580, 5.46378491116411436990, 6.65790464350110377720),
+    (2.04426310338993978564e-15, 1.4215117583164458887e-7, 1.84631831751005468180e-5, 7.86869131145613259100e-4,
+     0.0148753612908506148525, 0.136929880922735805310, 0.599832206555887937690, 1.0),
 )
-ACKLAM_TAIL_DEN = (
-    7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00,
-    3.754408661907416e00, 1.0,
-)
-ACKLAM_TAIL_PROBABILITY = 0.02425
+CENTRE_REACH, TAIL_SHIFT, FAR_SHIFT = 0.425, 1.6, 5.0
 
 
 def z_value(level: float) -> float:
@@ -42,23 +46,21 @@ def _polynomial(coefficients, x: Column) -> Column:
     return value
 
 
+def _rational(pair, x: Column) -> Column:
+    return _polynomial(pair[0], x) / _polynomial(pair[1], x)
+
+
 def normal_quantile(p: Column) -> Column:
-    """Inverse normal CDF of a per-row level in (0, 1); null outside."""
-    low, high = ACKLAM_TAIL_PROBABILITY, 1 - ACKLAM_TAIL_PROBABILITY
-    centred = p - F.lit(0.5)
-    square = centred * centred
-    centre = centred * _polynomial(ACKLAM_CENTRE_NUM, square) / _polynomial(ACKLAM_CENTRE_DEN, square)
-
-    def tail(q: Column) -> Column:
-        t = F.sqrt(F.lit(-2.0) * F.ln(q))
-        return _polynomial(ACKLAM_TAIL_NUM, t) / _polynomial(ACKLAM_TAIL_DEN, t)
-
-    return (
-        F.when((p <= 0) | (p >= 1), F.lit(None).cast("double"))
-        .when(p < low, tail(p))
-        .when(p > high, -tail(F.lit(1.0) - p))
-        .otherwise(centre)
+    """Inverse normal CDF of a per-row level in (0, 1) to double precision; null outside."""
+    q = p - F.lit(0.5)
+    near = q * _rational(CENTRE, F.lit(CENTRE_REACH**2) - q * q)
+    depth = F.sqrt(-F.ln(F.least(p, F.lit(1.0) - p)))
+    size = F.when(depth <= FAR_SHIFT, _rational(TAIL, depth - F.lit(TAIL_SHIFT))).otherwise(
+        _rational(FAR_TAIL, depth - F.lit(FAR_SHIFT))
     )
+    outer = F.when(q < 0, -size).otherwise(size)
+    inside = F.coalesce((p > 0) & (p < 1), F.lit(False))
+    return F.when(inside, F.when(F.abs(q) <= CENTRE_REACH, near).otherwise(outer))
 
 
 def chi_square_tail(x: Column, degrees: int) -> Column:

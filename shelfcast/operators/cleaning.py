@@ -129,10 +129,11 @@ def fill_features(df: DataFrame, features, cols: PanelColumns = PANEL) -> DataFr
     from shelfcast.operators.features import series_window
 
     w = series_window(df, cols)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    # past the forward fill only leading gaps are left, and those take the series' first known value
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return df.select(
         *[
-            F.coalesce(F.last(c, True).over(w), F.first(c, True).over(ahead), F.lit(0)).alias(c)
+            F.coalesce(F.last(c, True).over(w), F.first(c, True).over(whole), F.lit(0)).alias(c)
             if c in features
             else F.col(c)
             for c in df.columns

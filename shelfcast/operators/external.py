@@ -26,10 +26,12 @@ def _full(fn, column, window, rows):
 def index_features(index: DataFrame, date: str = "date", price: str = "dcoilwtico") -> DataFrame:
     """Lags, change, means and volatility of a daily index, gaps filled forward, then backward."""
     day = Window.orderBy(date)
-    back, ahead = day.rowsBetween(Window.unboundedPreceding, 0), day.rowsBetween(0, Window.unboundedFollowing)
+    back = day.rowsBetween(Window.unboundedPreceding, 0)
+    whole = day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     def filled(c):
-        return F.coalesce(F.last(c, True).over(back), F.first(c, True).over(ahead))
+        # only leading gaps are left after the forward fill; they take the first known value
+        return F.coalesce(F.last(c, True).over(back), F.first(c, True).over(whole))
 
     base = nan_to_null(index.select(date, price)).select(date, filled(price).alias(price))
     x = F.col(price)
@@ -70,9 +72,9 @@ def holiday_distances(holidays: DataFrame, date: str = "date", reach: int = FAR_
         F.explode(F.sequence("_a", "_b", F.expr("interval 1 day"))).alias(date)
     )
     marked = spine.join(days, spine[date] == days["_h"], "left").select(date, "_h")
-    w = Window.orderBy(date)
-    before = F.last("_h", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("_h", True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    earlier = Window.orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.orderBy(F.col(date).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before, after = F.last("_h", True).over(earlier), F.last("_h", True).over(later)
     far = F.lit(reach)
     return marked.select(
         date,
