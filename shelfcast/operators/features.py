@@ -134,10 +134,14 @@ def add_rolling(df: DataFrame, cols: PanelColumns = PANEL, windows=WINDOWS, gap:
     return fill_forward(rolled, [c for c in rolled.columns if c not in df.columns], cols) if fill else rolled
 
 
+def filled_columns(window, columns) -> dict[str, Column]:
+    """Last known value of each column along the window."""
+    return {c: F.last(c, ignorenulls=True).over(window) for c in columns}
+
+
 def fill_forward(df: DataFrame, columns, cols: PanelColumns = PANEL) -> DataFrame:
     """Last known value inside the series."""
-    window = series_window(df, cols)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(window) for c in columns})
+    return df.withColumns(filled_columns(series_window(df, cols), columns))
 
 
 def add_lags_ungrouped(df: DataFrame, order, cols: PanelColumns = PANEL, lags=LAGS, windows=WINDOWS) -> DataFrame:
@@ -169,6 +173,18 @@ def promo_columns(window, cols: PanelColumns = PANEL, windows=PROMO_WINDOWS) ->
     return out
 
 
+def run_columns(window, row: str, cols: PanelColumns = PANEL, any_positive: bool = False) -> dict[str, Column]:
+    """Rows since the last promotion and running promotion streak, from the row number in ``row``."""
+    on_promo = (F.col(cols.promo) > 0) if any_positive else (F.col(cols.promo) == 1)
+    on_promo = F.coalesce(on_promo, F.lit(False))
+    last_promo = F.max(F.when(on_promo, F.col(row))).over(window)
+    last_plain = F.max(F.when(~on_promo, F.col(row))).over(window)
+    return {
+        "days_since_promo": (F.col(row) - F.coalesce(last_promo, F.lit(0))).cast("long"),
+        "promo_streak": (F.col(row) - F.coalesce(last_plain, F.lit(0))).cast("long"),
+    }
+
+
 def add_promo_runs(df: DataFrame, cols: PanelColumns = PANEL, any_positive: bool = False) -> DataFrame:
     """Rows since the last promotion and length of the running promotion streak.
 
@@ -177,17 +193,8 @@ def add_promo_runs(df: DataFrame, cols: PanelColumns = PANEL, any_positive: bool
     Everything shares one window, so no further shuffle or sort is needed.
     """
     window = series_window(df, cols)
-    on_promo = (F.col(cols.promo) > 0) if any_positive else (F.col(cols.promo) == 1)
-    on_promo = F.coalesce(on_promo, F.lit(False))
     numbered = df.withColumn("_row", F.row_number().over(window))
-    last_promo = F.max(F.when(on_promo, F.col("_row"))).over(window)
-    last_plain = F.max(F.when(~on_promo, F.col("_row"))).over(window)
-    return numbered.withColumns(
-        {
-            "days_since_promo": (F.col("_row") - F.coalesce(last_promo, F.lit(0))).cast("long"),
-            "promo_streak": (F.col("_row") - F.coalesce(last_plain, F.lit(0))).cast("long"),
-        }
-    ).drop("_row")
+    return numbered.withColumns(run_columns(window, "_row", cols, any_positive)).drop("_row")
 
 
 def add_promotions(df: DataFrame, cols: PanelColumns = PANEL, any_positive: bool = False) -> DataFrame:
@@ -211,10 +218,14 @@ def add_interactions(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
+def series_mean(window, cols: PanelColumns = PANEL) -> Column:
+    """Mean target of the whole series. Carries the window's order, so it joins the same window pass."""
+    return F.avg(cols.target).over(window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+
+
 def add_series_mean(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
-    """Mean target of the series on every row; shares the partitioning of the series windows."""
-    mean = F.avg(cols.target).over(Window.partitionBy(*cols.series))
-    return df.withColumn("store_family_mean_sales", mean)
+    """Mean target of the series on every row."""
+    return df.withColumn("store_family_mean_sales", series_mean(series_window(df, cols), cols))
 
 
 def apply_series_mean(df: DataFrame, training: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:

@@ -63,8 +63,8 @@ def missing_dates(expected: DataFrame, actual: DataFrame, date: str = "date") ->
 def consistency_checks(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
     """Negative targets, duplicates, date span, gaps and distinct keys in one row.
 
-    The rows are first reduced to distinct rows with their counts, so the distinct counts work on
-    the reduced set.
+    The rows are first reduced to distinct rows with their counts; everything else is one
+    aggregation of that set, whose distinct counts are reduced map-side.
     """
     reduced = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
     totals = reduced.agg(
@@ -73,10 +73,10 @@ def consistency_checks(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
         (F.sum("_n") - F.count(F.lit(1))).alias("duplicate_count"),
         F.min(cols.date).alias("date_min"),
         F.max(cols.date).alias("date_max"),
+        F.count_distinct(F.col(cols.date)).alias("_days"),
+        F.count_distinct(F.col(cols.store)).alias("store_count"),
+        F.count_distinct(F.col(cols.family)).alias("family_count"),
     )
-    days = df.select(cols.date).distinct().agg(F.count(cols.date)).scalar()
-    stores = df.select(cols.store).distinct().agg(F.count(cols.store)).scalar()
-    families = df.select(cols.family).distinct().agg(F.count(cols.family)).scalar()
     span = F.datediff("date_max", "date_min")
     return totals.select(
         "rows",
@@ -87,9 +87,9 @@ def consistency_checks(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
         "date_min",
         "date_max",
         span.alias("total_days"),
-        (span + 1 - days).cast("long").alias("missing_dates_count"),
-        stores.alias("store_count"),
-        families.alias("family_count"),
+        (span + 1 - F.col("_days")).cast("long").alias("missing_dates_count"),
+        "store_count",
+        "family_count",
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shelfcast.columns import PANEL, PanelColumns
 from shelfcast.operators import external, features
@@ -25,17 +26,18 @@ def engineer(panel: DataFrame, oil: DataFrame | None = None, holidays: DataFrame
     if transactions is not None:
         df = external.with_transactions(df, durable(external.transaction_features(transactions, cols)), cols)
 
+    # two passes over the sorted series: the second needs the results of the first
     window = features.series_window(df, cols)
-    df = df.withColumns(
-        {
-            **features.lag_columns(window, cols, lags),
-            **features.rolling_columns(window, cols, windows, gap),
-            **features.promo_columns(window, cols),
-        }
-    )
-    rolled = [c for c in df.columns if c.startswith(f"{cols.target}_rolling_")]
-    df = features.add_promo_runs(features.fill_forward(df, rolled, cols), cols)
+    rolled = features.rolling_columns(window, cols, windows, gap)
+    first = {
+        **features.lag_columns(window, cols, lags),
+        **rolled,
+        **features.promo_columns(window, cols),
+        "_row": F.row_number().over(window),
+    }
     if series_mean:
-        df = features.add_series_mean(df, cols)
-    # projections last: they add no shuffle and keep the rows that are sorted narrow
+        first["store_family_mean_sales"] = features.series_mean(window, cols)
+    second = {**features.filled_columns(window, rolled), **features.run_columns(window, "_row", cols)}
+    df = df.withColumns(first).withColumns(second).drop("_row")
+    # plain projections last: they add no shuffle and keep the sorted rows narrow
     return features.add_interactions(features.add_calendar(df, cols), cols)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from shelfcast.columns import PANEL, PanelColumns
 
 
-def split_date(df: DataFrame, fraction: float = 0.8, cols: PanelColumns = PANEL) -> Column:
-    """Date of the row at ``int(fraction * rows)`` in date order, as a scalar subquery."""
+def _split_row(df: DataFrame, fractions, cols: PanelColumns) -> DataFrame:
+    """One row with the date at each ``int(fraction * rows)`` in date order."""
     per_day = df.groupBy(cols.date).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy(cols.date)  # one row per calendar day
     counted = per_day.select(
@@ -20,14 +20,29 @@ def split_date(df: DataFrame, fraction: float = 0.8, cols: PanelColumns = PANEL)
         F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
         F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"),
     )
-    return counted.where(F.col("_upto") > F.floor(F.lit(fraction) * F.col("_all"))).agg(F.min(cols.date)).scalar()
+    return counted.agg(
+        *[
+            F.min(F.when(F.col("_upto") > F.floor(F.lit(f) * F.col("_all")), F.col(cols.date))).alias(f"_d{i}")
+            for i, f in enumerate(fractions)
+        ]
+    )
+
+
+def split_dates(df: DataFrame, fractions, cols: PanelColumns = PANEL) -> list[date]:
+    """The cut dates, one per fraction."""
+    return list(_split_row(df, fractions, cols).first())
+
+
+def split_date(df: DataFrame, fraction: float = 0.8, cols: PanelColumns = PANEL) -> Column:
+    """One cut date as a scalar subquery, without a job of its own."""
+    return _split_row(df, [fraction], cols).scalar()
 
 
 def label_slices(df: DataFrame, fractions=(0.8,), names=("train", "holdout"), cols: PanelColumns = PANEL) -> DataFrame:
     """Add ``slice`` by chronological cut dates; rows up to the cut belong to the earlier slice."""
     label = F.lit(names[-1])
-    for fraction, name in reversed(list(zip(fractions, names))):
-        label = F.when(F.col(cols.date) <= split_date(df, fraction, cols), name).otherwise(label)
+    for cut, name in reversed(list(zip(split_dates(df, fractions, cols), names))):
+        label = F.when(F.col(cols.date) <= F.lit(cut), name).otherwise(label)
     return df.withColumn("slice", label)
 
 

@@ -64,14 +64,14 @@ def model_features(panel: DataFrame, oil=None, holidays=None, transactions=None,
                    windows=(7, 30), cols: PanelColumns = PANEL) -> DataFrame:
     """Features known ``horizon`` rows ahead, missing ones filled inside the series.
 
-    Transactions of the future are unknown and stay out of the feature columns.
+    Only lags, rolling figures and index features can be missing. Transactions of the future are
+    unknown and stay out of the feature columns.
     """
     lags = [k for k in LAGS if k >= horizon] or [horizon]
     wide = engineer(panel, oil, holidays, transactions, gap=horizon, series_mean=False, lags=lags,
                     windows=windows, cols=cols)
-    short = [c for c in wide.columns if c.startswith(f"{cols.promo}_lag_")]
-    numeric = feature_columns(wide, cols)
-    return fill_features(wide, [c for c in numeric if c not in short] + short, cols)
+    gaps = (f"{cols.target}_", f"{cols.promo}_lag_", "oil_")
+    return fill_features(wide, [c for c in feature_columns(wide, cols) if c.startswith(gaps)], cols)
 
 
 def assemble(df: DataFrame, columns, cols: PanelColumns = PANEL, keep=()) -> DataFrame:
@@ -87,8 +87,7 @@ def assemble(df: DataFrame, columns, cols: PanelColumns = PANEL, keep=()) -> Dat
 def training_matrix(features: DataFrame, columns, fractions=(0.7, 0.85), cols: PanelColumns = PANEL) -> DataFrame:
     """Stored matrix with its slice: train, early stopping, report."""
     known = features.where(F.col(cols.target).isNotNull())
-    labelled = label_slices(known, fractions, ("train", "stop", "report"), cols)
-    return durable(assemble(labelled, columns, cols, keep=["slice"]))
+    return label_slices(durable(assemble(known, columns, cols)), fractions, ("train", "stop", "report"), cols)
 
 
 # fitting -------------------------------------------------------------------------------------
