@@ -30,3 +30,10 @@ def ratio(numerator, denominator) -> Column:
 def finite(c: Column) -> Column:
     """True for a value that is neither null, NaN nor infinite."""
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over complete pairs; null when either side does not vary."""
+    x, y = x.cast("double"), y.cast("double")
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return ratio(F.covar_pop(x, y), spread)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.columns import PANEL, PanelColumns
-from shelfcast.functions.safe import finite, ratio
+from shelfcast.functions.safe import correlation, finite, ratio
 from shelfcast.functions.stats import chi_square_tail, correlation_p_value_column
 from shelfcast.operators.ordering import with_lookback
 
@@ -130,7 +130,7 @@ def heteroscedasticity(df: DataFrame, with_p_value: bool = True, actual: str = A
     """Correlation of the prediction with the squared residual."""
     e = F.col(predicted) - F.col(actual)
     one = usable_pairs(df, actual, predicted).agg(
-        F.count(F.lit(1)).alias("n"), F.corr(F.col(predicted).cast("double"), e * e).alias("correlation")
+        F.count(F.lit(1)).alias("n"), correlation(F.col(predicted), e * e).alias("correlation")
     )
     return one.withColumn("p_value", correlation_p_value_column("correlation", "n")) if with_p_value else one
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.columns import PANEL, PanelColumns
+from shelfcast.functions.safe import correlation
 from shelfcast.operators.ordering import with_lookback
 
 LAGS = (1, 7, 14, 30, 91, 365)
@@ -236,7 +237,7 @@ def apply_series_mean(df: DataFrame, training: DataFrame, cols: PanelColumns = P
 
 def feature_relevance(df: DataFrame, columns, target: str = "sales") -> DataFrame:
     """Absolute correlation of each column with the target, largest first; one pass."""
-    one = df.agg(*[F.abs(F.corr(F.col(c).cast("double"), F.col(target).cast("double"))).alias(c) for c in columns])
+    one = df.agg(*[F.abs(correlation(F.col(c), F.col(target))).alias(c) for c in columns])
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("relevance")) for c in columns])
     return one.select(F.explode(pairs).alias("_p")).select("_p.*").orderBy(
         F.col("relevance").desc_nulls_last(), "feature"
