@@ -18,7 +18,7 @@ REPLACEMENTS = ("p99", "clip")
 def coerce_types(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
     """Dates and numbers that do not parse become null; keys are left as they are."""
     casts = {
-        cols.date: F.col(cols.date).try_cast("timestamp").cast("date"),
+        cols.date: F.col(cols.date).try_cast("date"),
         cols.target: F.col(cols.target).try_cast("double"),
         cols.promo: F.col(cols.promo).try_cast("double"),
     }

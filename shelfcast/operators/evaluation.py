@@ -142,21 +142,23 @@ def compare_models(metrics: DataFrame, by: str = "wmape") -> DataFrame:
     return metrics.withColumn(f"{by}_rank", F.when(F.col(by).isNotNull(), position + (ties - 1) / 2))
 
 
+# Texts of the report's advice and the limits they depend on.
+EXCELLENT = "Excellent forecast accuracy - model is production ready"
+GOOD = "Good forecast accuracy - minor improvements possible"
+POOR = "Poor forecast accuracy - model needs significant improvement"
+LOW_FIT = "Low R² indicates poor model fit - consider feature engineering"
+AUTOCORRELATED = "Autocorrelation detected in residuals - consider time series modeling"
+NOT_NORMAL = "Non-normal residuals detected - check for outliers or model specification"
+EXCELLENT_WMAPE, GOOD_WMAPE, LEAST_R2, SIGNIFICANCE = 10, 20, 0.5, 0.05
+
+
 def report_advice(wmape, r2, ljung_p, jarque_p):
     """Texts that follow from the metrics, as an array column."""
-    return F.array_compact(
-        F.array(
-            F.when(wmape < 10, F.lit("Excellent forecast accuracy - model is production ready"))
-            .when(wmape < 20, F.lit("Good forecast accuracy - minor improvements possible"))
-            .when(wmape.isNotNull(), F.lit("Poor forecast accuracy - model needs significant improvement")),
-            F.when(r2 < 0.5, F.lit("Low R² indicates poor model fit - consider feature engineering")),
-            F.when(ljung_p < 0.05, F.lit("Autocorrelation detected in residuals - consider time series modeling")),
-            F.when(
-                jarque_p < 0.05,
-                F.lit("Non-normal residuals detected - check for outliers or model specification"),
-            ),
-        )
+    accuracy_text = (
+        F.when(wmape < EXCELLENT_WMAPE, EXCELLENT).when(wmape < GOOD_WMAPE, GOOD).when(wmape.isNotNull(), POOR)
     )
+    others = [(r2 < LEAST_R2, LOW_FIT), (ljung_p < SIGNIFICANCE, AUTOCORRELATED), (jarque_p < SIGNIFICANCE, NOT_NORMAL)]
+    return F.array_compact(F.array(accuracy_text, *[F.when(test, text) for test, text in others]))
 
 
 def evaluation_report(df: DataFrame, model: str, order=None, cols: PanelColumns = PANEL,

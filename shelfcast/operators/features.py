@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shelfcast.columns import PANEL, PanelColumns
 from shelfcast.functions.safe import correlation
 from shelfcast.operators.ordering import with_lookback
+from shelfcast.plans.durable import durable
 
 LAGS = (1, 7, 14, 30, 91, 365)
 PROMO_LAGS = (1, 7, 14)
@@ -230,9 +231,12 @@ def add_series_mean(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
 
 
 def apply_series_mean(df: DataFrame, training: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
-    """Series means learnt on a training slice and joined to other rows, so nothing leaks."""
+    """Series means learnt on a training slice and joined to other rows, so nothing leaks.
+
+    The means are one row per series; stored, they are broadcast only while they are small.
+    """
     means = training.groupBy(*cols.series).agg(F.avg(cols.target).alias("store_family_mean_sales"))
-    return df.join(means, cols.series, "left")
+    return df.join(durable(means), cols.series, "left")
 
 
 def feature_relevance(df: DataFrame, columns, target: str = "sales") -> DataFrame:

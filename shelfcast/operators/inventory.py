@@ -84,22 +84,28 @@ def optimisation_totals(results: DataFrame) -> DataFrame:
     )
 
 
+# Priority, action and reason of a recommendation, first matching rule wins.
+BELOW_SAFETY = ("Critical", "Emergency Order", "Below safety stock")
+BELOW_REORDER = ("High", "Place Order", "Below reorder point")
+SLOW_MOVING = ("Low", "Reduce Stock", "Low inventory turnover")
+IN_ORDER = ("Medium", "Monitor", "Normal inventory levels")
+SLOW_TURNS = 4
+
+
 def recommend(results: DataFrame) -> DataFrame:
     """Priority, action and reason per item, first rule that matches."""
     low_stock = F.col("current_inventory") <= F.col("safety_stock")
     reorder = F.col("current_inventory") <= F.col("reorder_point")
-    slow = F.col("inventory_turns") < 4
+    slow = F.col("inventory_turns") < SLOW_TURNS
 
-    def choose(critical, high, low, otherwise):
-        return F.when(low_stock, critical).when(reorder, high).when(slow, low).otherwise(otherwise)
+    def part(i):
+        return (
+            F.when(low_stock, BELOW_SAFETY[i]).when(reorder, BELOW_REORDER[i]).when(slow, SLOW_MOVING[i])
+            .otherwise(IN_ORDER[i])
+        )
 
-    priority = choose("Critical", "High", "Low", "Medium")
-    action = choose("Emergency Order", "Place Order", "Reduce Stock", "Monitor")
-    reason = choose(
-        "Below safety stock", "Below reorder point", "Low inventory turnover", "Normal inventory levels"
-    )
     return results.withColumns(
-        {"priority": priority, "action": action, "reason": reason, "priority_rank": stock.priority_rank(priority)}
+        {"priority": part(0), "action": part(1), "reason": part(2), "priority_rank": stock.priority_rank(part(0))}
     )
 
 

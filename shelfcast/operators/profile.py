@@ -207,15 +207,16 @@ def date_bounds(*tables: DataFrame, date: str = "date") -> DataFrame:
     return whole.agg(F.min("date_min").alias("date_min"), F.max("date_max").alias("date_max"))
 
 
+# Columns that never become model features, besides target and keys.
+NOT_FEATURES = (
+    "dcoilwtico", "holiday_locale", "holiday_type", "transactions", "transactions_lag_1", "transactions_lag_7",
+    "transactions_ma_7", "transactions_ma_30", "transactions_growth",
+)
+
+
 def feature_columns(df: DataFrame, cols: PanelColumns = PANEL, extra_excluded=()) -> list[str]:
     """Numeric columns that a model may use: no target, keys, raw index or transaction columns."""
-    excluded = {
-        cols.date, cols.store, cols.family, cols.target,
-        "dcoilwtico", "holiday_locale", "holiday_type",
-        "transactions", "transactions_lag_1", "transactions_lag_7",
-        "transactions_ma_7", "transactions_ma_30", "transactions_growth",
-        *extra_excluded,
-    }
+    excluded = {*cols.grain, cols.target, *NOT_FEATURES, *extra_excluded}
     return [
         f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in excluded
     ]

@@ -48,30 +48,19 @@ def _key(row):
     return tuple((x is not None, str(type(x)), str(x)) for x in row)
 
 
-def _kind(t: str) -> str:
-    t = str(t).lower()
-    for names, kind in (
-        (("bigint", "int", "hugeint", "smallint"), "int"), (("double", "float", "decimal"), "float"),
-        (("varchar", "string"), "str"),
-    ):
-        if any(t.startswith(n) for n in names):
-            return kind
-    return t
-
-
 def compare(df, con, sql: str) -> str | None:
     """None when equal, otherwise what differs."""
     names = sorted(df.columns)
     spark_rows = sorted((tuple(_value(r[n]) for n in names) for r in df.collect()), key=_key)
     cursor = con.execute(sql)
     columns = [d[0] for d in cursor.description]
-    types = {d[0]: str(d[1]) for d in cursor.description}
     if sorted(columns) != names:
         return f"columns {names} against {sorted(columns)}"
     place = [columns.index(n) for n in names]
     sql_rows = sorted((tuple(_value(r[i]) for i in place) for r in cursor.fetchall()), key=_key)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    odd = [(n, kinds[n], types[n]) for n in names if not _same_type(kinds[n], types[n])]
+    types = {row[0]: row[1] for row in con.execute(f"DESCRIBE {sql}").fetchall()}
+    odd = [(n, kinds[n], types[n]) for n in names if SAME[kinds[n]] != types[n]]
     if odd:
         return f"types {odd}"
     if len(spark_rows) != len(sql_rows):
@@ -82,13 +71,4 @@ def compare(df, con, sql: str) -> str | None:
     return None
 
 
-SAME = {
-    "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN",
-}
-
-
-def _same_type(spark: str, duck: str) -> bool:
-    if spark in SAME:
-        return duck.upper() in (SAME[spark], "STRING" if spark == "string" else "", "NUMBER" if spark in ("bigint", "double") else "") or (
-            duck.upper() == "BOOL" and spark == "boolean")
-    return True
+SAME = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN"}
