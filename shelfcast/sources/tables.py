@@ -115,17 +115,12 @@ def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "o
 def write_panel(df: DataFrame, path: str, date: str = "date", mode: str = "overwrite") -> str:
     """Write a panel as parquet partitioned by year and month.
 
-    Rows are brought together by month first, so a month is a bounded number of files; each month
-    is spread over tasks by a hash of the row's other keys.
+    Rows are rebalanced by month: at run time large months are split and small ones are merged, so
+    files have an even size whatever the volume of a month.
     """
     dated = df.withColumns({"p_year": F.year(date), "p_month": F.month(date)})
-    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != date][:2] or [date]), F.lit(8))
-    (
-        dated.repartition("p_year", "p_month", spread)
-        .write.mode(mode)
-        .partitionBy("p_year", "p_month")
-        .parquet(path)
-    )
+    balanced = dated.hint("rebalance", F.col("p_year"), F.col("p_month"))
+    balanced.write.mode(mode).partitionBy("p_year", "p_month").parquet(path)
     return path
 
 
