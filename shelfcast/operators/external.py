@@ -2,7 +2,7 @@
 
 The index and the holidays are one row per day, so their windows hold at most one row per calendar
 day. Joins to the panel go through :func:`shelfcast.plans.durable.durable`: the planner then knows
-the size of the day table and broadcasts it only when it is small.
+the size of the joined table and broadcasts it only when it is small.
 """
 
 from __future__ import annotations
@@ -141,7 +141,7 @@ def with_holiday_distances(panel: DataFrame, holidays: DataFrame, cols: PanelCol
 
 def with_transactions(panel: DataFrame, features: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
     """Left join of transaction features on (date, store)."""
-    return panel.join(features, [cols.date, cols.store], "left")
+    return panel.join(durable(features), [cols.date, cols.store], "left")
 
 
 def day_table(index: DataFrame | None, holidays: DataFrame | None, date: str = "date") -> DataFrame:

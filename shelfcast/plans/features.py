@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from shelfcast.columns import PANEL, PanelColumns
 from shelfcast.operators import external, features
-from shelfcast.plans.durable import durable
 
 
 def engineer(panel: DataFrame, oil: DataFrame | None = None, holidays: DataFrame | None = None,
@@ -24,7 +23,7 @@ def engineer(panel: DataFrame, oil: DataFrame | None = None, holidays: DataFrame
     if oil is not None or holidays is not None:
         df = external.with_day_table(df, oil, holidays, cols)
     if transactions is not None:
-        df = external.with_transactions(df, durable(external.transaction_features(transactions, cols)), cols)
+        df = external.with_transactions(df, external.transaction_features(transactions, cols), cols)
 
     # two passes over the sorted series: the second needs the results of the first
     window = features.series_window(df, cols)
