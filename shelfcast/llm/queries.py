@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import exact_dedup, packing, simhash
+from shelfcast.llm import exact_dedup, mixing, packing, simhash, toxicity
 from shelfcast.llm.common import read
 from shelfcast.llm.register import query
 
@@ -42,3 +42,15 @@ def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_best_fit_packing")
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+@query("op3_mixing")
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs, F.array("source"), mixing.word_count())
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(read(spark, folder, "documents"), read(spark, folder, "labels"))
