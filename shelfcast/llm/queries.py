@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import exact_dedup, mixing, packing, simhash, toxicity
+from shelfcast.llm import (
+    exact_dedup, license_scan, line_dedup, mixing, packing, simhash, token_counts, toxicity, url_filter,
+)
 from shelfcast.llm.common import read
 from shelfcast.llm.register import query
 
@@ -54,3 +56,123 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_toxicity")
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+#: Rules of the URL filter: verdict, host and path.
+RULES = (
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+)
+
+
+def _rules_sql(result: int) -> str:
+    cases = []
+    for rule in sorted(RULES, key=lambda r: (-len(r[1]), r[1])):
+        at, start = rule[1].split("/", 1)
+        cases.append(f"WHEN (host = '{at}' OR suffix(host, '.{at}')) AND starts_with(path, '/{start}') THEN '{rule[result]}'")
+    return "CASE " + " ".join(cases) + " END"
+
+
+_TWO = ", ".join(f"'{s}'" for s in url_filter.TWO_PART)
+
+
+def _strength_sql(level: str) -> str:
+    """One row: size of the beta prior of a level, by the moments of the beta-binomial."""
+    return f"""
+(SELECT round(1 / least(greatest(CASE WHEN k > 1 AND b > 0 AND b < n AND n - q / n - (k - 1) > 0
+   THEN ((w - n * (b / n) * (b / n)) - (k - 1) * (b / n) * (1 - b / n)) / ((n - q / n - (k - 1)) * (b / n) * (1 - b / n))
+   ELSE {url_filter.RHO} END, {url_filter.LEAST_RHO}), {url_filter.MOST_RHO}) - 1, 6)
+ FROM (SELECT count(*) AS k, sum(seen)::DOUBLE AS n, sum(bad)::DOUBLE AS b, sum(seen::DOUBLE * seen) AS q,
+              sum(bad::DOUBLE * bad / seen) AS w FROM {level} WHERE seen > 0))"""
+
+
+@query(
+    "op1_url_filter",
+    f"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+                            '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+lab AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad
+        FROM labels WHERE doc_id IS NOT NULL AND (toxic IS NOT NULL OR quality IS NOT NULL) GROUP BY doc_id),
+hosts AS (
+  SELECT host, sum(CASE WHEN bad = 1 THEN 1 ELSE 0 END) AS bad, sum(CASE WHEN bad IS NOT NULL THEN 1 ELSE 0 END) AS seen,
+         CASE WHEN list_contains([{_TWO}], array_to_string(string_split(host, '.')[-2:], '.'))
+              THEN array_to_string(string_split(host, '.')[-3:], '.')
+              ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain,
+         CASE WHEN list_contains([{_TWO}], array_to_string(string_split(host, '.')[-2:], '.'))
+              THEN array_to_string(string_split(host, '.')[-2:], '.')
+              ELSE array_to_string(string_split(host, '.')[-1:], '.') END AS suf
+  FROM p LEFT JOIN lab
+    ON lab.doc_id = TRY_CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:[.][A-Za-z]+|/)?$', 1), '') AS BIGINT)
+  GROUP BY host),
+domains AS (SELECT domain, suf, sum(bad) AS bad, sum(seen) AS seen FROM hosts GROUP BY domain, suf),
+sufs AS (SELECT suf, sum(bad) AS bad, sum(seen) AS seen FROM domains GROUP BY suf),
+s AS (SELECT {_strength_sql('sufs')} AS ss, {_strength_sql('domains')} AS sd, {_strength_sql('hosts')} AS sh,
+             (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(seen) + 1.0::DOUBLE) FROM sufs) AS overall),
+tops AS (SELECT suf, (bad + ss * overall) / (seen + ss) AS top FROM sufs, s),
+mids AS (SELECT domain, (bad + sd * top) / (seen + sd) AS mid FROM domains JOIN tops USING (suf), s),
+rated AS (SELECT host, (bad + sh * mid) / (seen + sh) AS rate, seen + sh AS total FROM hosts JOIN mids USING (domain), s)
+SELECT page_id, host, path, {_rules_sql(1)} AS rule,
+       coalesce({_rules_sql(0)},
+         CASE WHEN rate - {url_filter.DEVIATIONS} * sqrt(rate * (1 - rate) / (total + 1)) > {url_filter.MOST_BAD}
+              THEN 'block' ELSE 'allow' END) AS verdict
+FROM p JOIN rated USING (host)
+""",
+)
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """A page's outcome is the label of the document whose number ends its path: bad if toxic or of low quality."""
+    bad = (F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)
+    labels = read(spark, folder, "labels").where("toxic is not null or quality is not null")
+    outcomes = labels.select(F.col("doc_id").alias("key"), bad.cast("int").alias("bad"))
+    found = url_filter.judge(read(spark, folder, "pages"), outcomes, RULES, key=url_filter.last_number)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query(
+    "op8_line_dedup",
+    f"""
+WITH l AS (
+  SELECT doc_id, md5(coalesce(text, '')) AS doc, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+h AS (
+  SELECT *, list_transform(ls, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT % {line_dedup.PRIME}) AS hs FROM l),
+e AS (
+  SELECT *, list_filter(range(1, len(ls) + 1), lambda i: i = len(ls) OR
+    (i >= 2 AND ((hs[i - 1] * {line_dedup.BASE} + hs[i]) % {line_dedup.PRIME}) % {line_dedup.MEAN_LINES} = 0)) AS ends FROM h),
+c AS (
+  SELECT doc_id, doc, ls, unnest(ends) AS stop, unnest(list_concat([0], ends[:-2])) AS start FROM e),
+b AS (SELECT doc_id, doc, start, stop - start AS n, array_to_string(ls[start + 1:stop], chr(10)) AS body FROM c),
+m AS (
+  SELECT *, n > 1 AND regexp_replace(body, '[\x20\x09-\x0D]+', '', 'g') <> '' AND
+    row_number() OVER (PARTITION BY body, n > 1 ORDER BY doc_id, doc, start) > 1 AS gone FROM b)
+SELECT doc_id, sum(n)::BIGINT AS lines, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS removed_lines,
+       sha256(coalesce(string_agg(body, chr(10) ORDER BY start) FILTER (NOT gone), '')) AS text_sha256
+FROM m GROUP BY doc_id
+""",
+)
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
+    cleaned = line_dedup.deduplicate(docs.withColumn("lines", lines))
+    return cleaned.select("doc_id", "lines", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan.scan(read(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("notices").alias("n_licenses"),
+        F.array_join(F.transform("notices", lambda n: n["license"]), ",").alias("licenses"),
+        F.coalesce(F.array_max(F.transform("notices", lambda n: n["containment"])), F.lit(0.0)).alias("containment"),
+        F.array_min(F.transform("notices", lambda n: n["first_word"])).alias("first_word"),
+    )
