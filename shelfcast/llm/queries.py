@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.llm import (
-    exact_dedup, license_scan, line_dedup, mixing, packing, simhash, token_counts, toxicity, url_filter,
+    exact_dedup, license_scan, line_dedup, minhash, mixing, packing, simhash, token_counts, toxicity, url_filter,
 )
 from shelfcast.llm.common import read
 from shelfcast.llm.register import query
@@ -176,3 +176,8 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce(F.array_max(F.transform("notices", lambda n: n["containment"])), F.lit(0.0)).alias("containment"),
         F.array_min(F.transform("notices", lambda n: n["first_word"])).alias("first_word"),
     )
+
+
+@query("op5_minhash_fingerprints")
+def op5_minhash_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.with_next(read(spark, folder, "documents"))
