@@ -61,11 +61,15 @@ def c3_counts(spark, folder):
 
 @query(
     "C3_key_duplicates",
-    with_([src.FEED, FILLED], "SELECT DISTINCT date, CAST(store_nbr AS BIGINT) AS store_nbr, family FROM filled"),
+    with_(
+        [src.FEED, FILLED],
+        f"""SELECT {KEYS}, sales, onpromotion FROM filled QUALIFY row_number() OVER (
+        PARTITION BY date, store_nbr, family ORDER BY onpromotion NULLS FIRST, sales NULLS FIRST) = 1""",
+    ),
 )
 def c3_keys(spark, folder):
-    rows = cleaning.drop_duplicates(cleaning.fill_missing(typed(spark, folder)), ["date", "store_nbr", "family"])
-    return rounded(rows.select("date", "store_nbr", "family"))
+    rows = cleaning.fill_missing(typed(spark, folder))
+    return rounded(cleaning.drop_duplicates(rows, ["date", "store_nbr", "family"], order=["onpromotion"]))
 
 
 IQR = f"""limits AS (

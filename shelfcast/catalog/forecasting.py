@@ -14,8 +14,9 @@ from shelfcast.plans.folds import label_slices
 from shelfcast.plans.forecasting import forecast
 
 SERIES = ["store_nbr", "family"]
-TREES = {"maxIter": 5, "maxDepth": 4}
-FOREST = {"numTrees": 5, "maxDepth": 4}
+
+#: The search of the library runs TRIALS settings; the registered query is a short one.
+SEARCH_TRIALS = 4
 
 
 @query(
@@ -89,19 +90,32 @@ def f5(spark, folder):
     return rounded(bands.residual_offsets(held(spark, folder), SERIES))
 
 
+POOLS = """known AS (SELECT * FROM held WHERE family <> 'SMALL' AND store_nbr <> 3),
+series_offs AS (SELECT store_nbr, family, quantile_cont(residual, 0.1) AS r10, quantile_cont(residual, 0.5) AS r50,
+  quantile_cont(residual, 0.9) AS r90 FROM known GROUP BY 1, 2 HAVING COUNT(residual) >= 30),
+group_offs AS (SELECT store_nbr, quantile_cont(residual, 0.1) AS r10, quantile_cont(residual, 0.5) AS r50,
+  quantile_cont(residual, 0.9) AS r90 FROM known GROUP BY 1),
+all_offs AS (SELECT quantile_cont(residual, 0.1) AS r10, quantile_cont(residual, 0.5) AS r50,
+  quantile_cont(residual, 0.9) AS r90 FROM known),
+chosen AS (SELECT h.*, COALESCE(s.r10, g.r10, a.r10) AS r10, COALESCE(s.r50, g.r50, a.r50) AS r50,
+  COALESCE(s.r90, g.r90, a.r90) AS r90,
+  CASE WHEN s.r10 IS NOT NULL THEN 'series' WHEN g.r10 IS NOT NULL THEN 'group' ELSE 'all' END AS level
+  FROM held h LEFT JOIN series_offs s ON h.store_nbr = s.store_nbr AND h.family = s.family
+  LEFT JOIN group_offs g ON h.store_nbr = g.store_nbr, all_offs a)"""
+
 QUANTILE_SQL = ", ".join(
     r(f"list_sort([greatest(prediction + r10, 0), greatest(prediction + r50, 0), greatest(prediction + r90, 0)])[{i}]", c)
     for i, c in enumerate(bands.QUANTILES, 1)
 )
 
 
-@query("F6_quantile_forecast", with_([src.PANEL, src.PREDICTIONS, HELD],
-                                     f"SELECT {KEYS}, {QUANTILE_SQL} FROM held JOIN offs USING (store_nbr, family)"))
+@query("F6_quantile_forecast", with_([src.PANEL, src.PREDICTIONS, HELD, POOLS], f"SELECT {KEYS}, {QUANTILE_SQL}, level FROM chosen"))
 def f6(spark, folder):
+    """One family and one store are left out of the calibration, so all three levels occur."""
     df = held(spark, folder)
-    offsets = durable(bands.residual_offsets(df, SERIES))
-    out = bands.residual_quantiles(df, offsets, SERIES)
-    return rounded(out.select("date", *SERIES, *bands.QUANTILES))
+    known = durable(df.where("family <> 'SMALL' AND store_nbr <> 3"))
+    out = bands.residual_quantiles(df, durable(bands.pooled_offsets(known, SERIES)), SERIES)
+    return rounded(out.select("date", *SERIES, *bands.QUANTILES, "level"))
 
 
 @query(
@@ -184,93 +198,211 @@ def f9_quantiles(spark, folder):
     return rounded(bands.combine(parts, keys, columns=bands.QUANTILES))
 
 
-# MLlib jobs: rows only
+# MLlib jobs, and beside each what SQL can say of its output
 
 
 def _inputs(spark, folder):
-    return src.panel(spark, folder), src.oil(spark, folder), src.holidays(spark, folder)
+    """The panel is stored once; the job reads it several times."""
+    return durable(src.panel(spark, folder)), src.oil(spark, folder), src.holidays(spark, folder)
+
+
+_TRAINED: dict[tuple[str, str], dict] = {}
+
+
+def _trained(spark, folder) -> dict:
+    """One training run per session and folder; the queries below look at its parts."""
+    from shelfcast.catalog.tables import scratch
+
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _TRAINED:
+        inputs = _inputs(spark, folder)
+        _TRAINED[key] = training.train(*inputs, backtest_splits=5, save_to=scratch(spark, "models")) | {"inputs": inputs}
+    return _TRAINED[key]
+
+
+def _report(trained, model):
+    return training.predict(model, trained["matrix"].where(F.col("slice") == "report"))
+
+
+def _predictions(trained, model):
+    return rounded(_report(trained, model).select("date", *SERIES, F.col("label").alias("actual"), "prediction"))
+
 
+def _report_rows(trained, model):
+    """Keys, actuals and whether the prediction is a usable number."""
+    usable = F.col("prediction").isNotNull() & ~F.isnan("prediction") & (F.col("prediction") >= 0)
+    return rounded(_report(trained, model).select("date", *SERIES, F.col("label").alias("actual"), usable.alias("usable")))
 
-def _matrix(spark, folder):
-    features = training.model_features(*_inputs(spark, folder))
-    columns = training.feature_columns(features)
-    return training.training_matrix(features, columns), columns
 
+SLICE_CUTS = """days AS (SELECT date, COUNT(*) AS c FROM panel GROUP BY 1),
+run AS (SELECT date, SUM(c) OVER (ORDER BY date) AS upto, SUM(c) OVER () AS n FROM days),
+cuts AS (SELECT MIN(date) FILTER (upto > floor(CAST(0.7 AS DOUBLE) * n)) AS a,
+  MIN(date) FILTER (upto > floor(CAST(0.775 AS DOUBLE) * n)) AS b, MIN(date) FILTER (upto > floor(CAST(0.85 AS DOUBLE) * n)) AS c FROM run),
+sliced AS (SELECT panel.*, CASE WHEN date <= a THEN 'train' WHEN date <= b THEN 'stop' WHEN date <= cuts.c THEN 'calibrate'
+  ELSE 'report' END AS slice FROM panel, cuts)"""
+REPORT_ROWS = with_([src.PANEL, SLICE_CUTS], f"SELECT {KEYS}, {r('sales', 'actual')}, true AS usable FROM sliced WHERE slice = 'report'")
 
-def _predictions(model, matrix):
-    report = training.predict(model, matrix.where(F.col("slice") == "report"))
-    return rounded(report.select("date", *SERIES, F.col("label").alias("actual"), "prediction"))
+FOLDS = """fold_days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, COUNT(*) OVER () AS u FROM (SELECT DISTINCT date FROM panel)),
+pos AS (SELECT DISTINCT CAST(trunc(trunc(u * 0.5) + k * ((u - 31) - trunc(u * 0.5)) / 4.0) AS BIGINT) AS c, u
+        FROM (SELECT MAX(u) AS u FROM fold_days), (SELECT unnest([0, 1, 2, 3, 4]) AS k)),
+folds AS (SELECT row_number() OVER (ORDER BY c) AS fold, a.date AS cutoff, e.date AS test_end
+          FROM pos JOIN fold_days a ON a.i = c JOIN fold_days e ON e.i = least(c + 30, pos.u - 1))"""
 
 
 @query("F2_boosted_trees")
 def f2(spark, folder):
-    matrix, _ = _matrix(spark, folder)
-    return _predictions(training.fit_boosted(matrix, **TREES), matrix)
+    trained = _trained(spark, folder)
+    return _predictions(trained, trained["models"]["boosted"])
+
+
+@query("F2_report_rows", REPORT_ROWS)
+def f2_rows(spark, folder):
+    trained = _trained(spark, folder)
+    return _report_rows(trained, trained["models"]["boosted"])
 
 
 @query("F2_tweedie_glm")
 def f2_glm(spark, folder):
-    matrix, _ = _matrix(spark, folder)
-    return _predictions(training.fit(training.tweedie_glm(), matrix.where(F.col("slice") == "train")), matrix)
+    trained = _trained(spark, folder)
+    return _predictions(trained, training.fit(training.tweedie_glm(), trained["matrix"].where(F.col("slice") == "train")))
 
 
 @query("F3_random_forest")
 def f3(spark, folder):
-    matrix, _ = _matrix(spark, folder)
-    return _predictions(training.fit(training.random_forest(**FOREST), matrix.where(F.col("slice") == "train")), matrix)
+    trained = _trained(spark, folder)
+    return _predictions(trained, trained["models"]["forest"])
+
+
+@query("F3_report_rows", REPORT_ROWS)
+def f3_rows(spark, folder):
+    trained = _trained(spark, folder)
+    return _report_rows(trained, trained["models"]["forest"])
 
 
 @query("F10_search")
 def f10(spark, folder):
-    matrix, _ = _matrix(spark, folder)
-    small = {"maxIter": (2, 4), "maxDepth": (2, 4), "stepSize": (0.05, 0.3)}
-    return rounded(training.tune(matrix, trials=2, folds=3, ranges=small))
+    return rounded(training.tune(_trained(spark, folder)["matrix"], trials=SEARCH_TRIALS))
 
 
 @query("F11_cross_validation")
 def f11(spark, folder):
-    matrix, _ = _matrix(spark, folder)
-    return rounded(training.cross_validate(matrix, lambda: training.random_forest(**FOREST), folds=3))
+    return rounded(training.cross_validate(_trained(spark, folder)["matrix"], training.random_forest))
+
+
+@query(
+    "F11_folds",
+    with_(
+        [
+            src.PANEL,
+            """fold_days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, COUNT(*) OVER () AS u FROM (SELECT DISTINCT date FROM panel))""",
+        ],
+        """SELECT k AS fold, date AS cutoff FROM fold_days, (SELECT CAST(unnest([1, 2, 3, 4, 5]) AS BIGINT) AS k)
+        WHERE i = u - (u // 6) * (6 - k) - 1""",
+    ),
+)
+def f11_folds(spark, folder):
+    """Fold numbers and cutoffs of a finished cross validation, here of the linear model."""
+    scores = training.cross_validate(_trained(spark, folder)["matrix"], training.tweedie_glm)
+    return rounded(scores.where("score >= 0").select("fold", "cutoff"))
 
 
 @query("F12_backtest_of_model")
 def f12_model(spark, folder):
-    """The factory argument is the user's own estimator."""
-    matrix, _ = _matrix(spark, folder)
-    return rounded(training.rolling_backtest(matrix, lambda: training.random_forest(**FOREST), n_splits=3))
+    return rounded(_trained(spark, folder)["backtest"])
+
+
+@query(
+    "F12_folds_of_model",
+    with_(
+        [src.PANEL, FOLDS],
+        """SELECT fold, cutoff, COUNT(*) FILTER (date <= cutoff) AS n_train,
+        COUNT(*) FILTER (date > cutoff AND date <= test_end) AS n_test FROM folds, panel GROUP BY fold, cutoff""",
+    ),
+)
+def f12_folds(spark, folder):
+    return rounded(_trained(spark, folder)["backtest"].where("wmape >= 0 and mae >= 0").select("fold", "cutoff", "n_train", "n_test"))
 
 
 @query("F13_importance")
 def f13(spark, folder):
-    matrix, columns = _matrix(spark, folder)
-    model = training.fit(training.random_forest(**FOREST), matrix.where(F.col("slice") == "train"))
-    return training.top_features(training.importance(model, columns, spark), 20)
+    trained = _trained(spark, folder)
+    return training.top_features(training.importance(trained["models"]["forest"], trained["columns"], spark), 20)
+
+
+@query(
+    "F13_shares",
+    "SELECT CAST(1.0 AS DOUBLE) AS shares, CAST(1.0 AS DOUBLE) AS last_cumulative, true AS each_in_range, CAST(0 AS BIGINT) AS repeated",
+)
+def f13_shares(spark, folder):
+    trained = _trained(spark, folder)
+    table = training.importance(trained["models"]["forest"], trained["columns"], spark)
+    return rounded(
+        table.agg(
+            F.sum("share").alias("shares"),
+            F.max("cumulative_share").alias("last_cumulative"),
+            F.bool_and(F.col("share").between(0, 1)).alias("each_in_range"),
+            (F.count("feature") - F.countDistinct("feature")).alias("repeated"),
+        )
+    )
 
 
 @query("F14_saved_model")
 def f14(spark, folder):
-    from shelfcast.catalog.tables import scratch
+    trained = _trained(spark, folder)
+    return _predictions(trained, training.load_model(trained["saved"]["forest"]))
 
-    matrix, columns = _matrix(spark, folder)
-    model = training.fit(training.random_forest(**FOREST), matrix.where(F.col("slice") == "train"))
-    path = training.save_model(model, scratch(spark, "model"), spark, "forest", columns)
-    return _predictions(training.load_model(path), matrix)
+
+@query(
+    "F14_same_after_loading",
+    with_([src.PANEL, SLICE_CUTS], "SELECT COUNT(*) AS rows, CAST(0 AS BIGINT) AS different FROM sliced WHERE slice = 'report'"),
+)
+def f14_same(spark, folder):
+    trained = _trained(spark, folder)
+    before = _report(trained, trained["models"]["forest"]).select("date", *SERIES, F.col("prediction").alias("before"))
+    after = _report(trained, training.load_model(trained["saved"]["forest"])).select("date", *SERIES, F.col("prediction").alias("after"))
+    both = before.join(after, ["date", *SERIES])
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("different"))
 
 
-def _train(spark, folder):
-    return training.train(*_inputs(spark, folder), trees=TREES, forest=FOREST)
+def _forecast(spark, folder):
+    trained = _trained(spark, folder)
+    history, oil, holidays = trained["inputs"]
+    return forecast(history, src.future(spark, folder), trained, oil, holidays, check_grain=False)
 
 
 @query("F15_forecast")
 def f15(spark, folder):
-    history, oil, holidays = _inputs(spark, folder)
-    return rounded(forecast(history, src.future(spark, folder), _train(spark, folder), oil, holidays))
+    return rounded(_forecast(spark, folder))
+
+
+@query("F15_forecast_rows", with_([src.PANEL, src.FUTURE], f"SELECT {KEYS}, true AS ordered, true AS banded FROM future"))
+def f15_rows(spark, folder):
+    low, middle, high = bands.QUANTILES
+    ordered = (F.col("forecast") >= 0) & (F.col(low) >= 0) & (F.col(low) <= F.col(middle)) & (F.col(middle) <= F.col(high))
+    return rounded(
+        _forecast(spark, folder).select("date", *SERIES, ordered.alias("ordered"), (F.col(high) > F.col(low)).alias("banded"))
+    )
 
 
 @query("F16_training")
 def f16(spark, folder):
-    metrics = _train(spark, folder)["metrics"]
-    return spark.createDataFrame(sorted((k, float(v)) for k, v in metrics.items()), "metric string, value double")
+    """Metrics of the report slice, figures of every backtest fold and features of every saved model."""
+    trained = _trained(spark, folder)
+    metrics = [(k, float(v)) for k, v in trained["metrics"].items()]
+    folds = [(f"backtest_{f.fold}_{k}", float(f[k])) for f in trained["backtest"].collect() for k in ("n_train", "n_test", "wmape", "mae")]
+    saved = [(f"features_of_{n}", float(len(training.model_info(p, spark).first().features))) for n, p in trained["saved"].items()]
+    return spark.createDataFrame(sorted([*metrics, *folds, *saved]), "metric string, value double")
+
+
+@query(
+    "F16_slices",
+    with_([src.PANEL, SLICE_CUTS], "SELECT slice, COUNT(*) AS rows, MIN(date) AS first_date, MAX(date) AS last_date FROM sliced GROUP BY 1"),
+)
+def f16_slices(spark, folder):
+    matrix = _trained(spark, folder)["matrix"]
+    return matrix.groupBy("slice").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
+    )
 
 
 # W15 and T4 on relevance instead of a fitted model, so that SQL can follow

@@ -99,12 +99,16 @@ typed AS (
 def stores(spark, folder) -> DataFrame:
     nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
     return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
-        F.col("n_nationkey").alias("store_nbr"), F.col("n_name").alias("city"), F.col("r_name").alias("state")
+        F.col("n_nationkey").alias("store_nbr"),
+        F.col("n_name").alias("city"),
+        F.col("r_name").alias("state"),
+        F.substring("n_name", 1, 1).alias("type"),
+        (F.col("n_regionkey") + 1).alias("cluster"),
     )
 
 
 STORES = """stores AS (
-  SELECT n_nationkey AS store_nbr, n_name AS city, r_name AS state
+  SELECT n_nationkey AS store_nbr, n_name AS city, r_name AS state, substr(n_name, 1, 1) AS type, n_regionkey + 1 AS cluster
   FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 
 

@@ -303,11 +303,11 @@ def m7(spark, folder):
     "T3_priority_order",
     with_(
         [src.ITEMS, RESULTS, RECS],
-        f"SELECT item_id, priority, {r('recommended_order', 'recommended_order')} FROM recs ORDER BY priority_rank, item_id LIMIT 50",
+        f"SELECT item_id, priority, {r('recommended_order', 'recommended_order')} FROM recs ORDER BY priority_rank, item_id",
     ),
 )
 def t3(spark, folder):
-    df = inventory.by_priority(recommendations(spark, folder)).limit(50)
+    df = inventory.by_priority(recommendations(spark, folder))
     return rounded(df.select("item_id", "priority", "recommended_order"))
 
 
@@ -801,3 +801,38 @@ def flagship(spark, folder):
     return rounded(
         decided.select("item_id", "demand_forecast", "safety_stock", "reorder_point", "eoq", "abc_class", "priority")
     )
+
+
+STAGE_ITEMS = """items AS (
+  SELECT s.item_id, CAST(s.item_id * 37 % 1400 AS DOUBLE) AS current_inventory, CAST(5 + s.item_id % 20 AS DOUBLE) AS unit_cost,
+         CAST(s.item_id % 21 + 7 AS INTEGER) AS lead_time, AVG(forecast) AS demand_mean
+  FROM forecasts f JOIN shelf s ON f.store_nbr = s.store_nbr AND f.family = s.family GROUP BY s.item_id)"""
+
+
+@query(
+    "M25_stage_end_to_end",
+    with_(
+        [src.PANEL, src.FUTURE, src.FORECASTS, SERIES_STOCK, STAGE_ITEMS, RESULTS, RECS, STAGE],
+        f"""SELECT {b('item_id', 'item_id')}, {r('safety_stock', 'safety_stock')}, {r('reorder_point', 'reorder_point')},
+        {r('eoq', 'eoq')}, abc_class, priority, action FROM staged""",
+    ),
+)
+def m25_stage(spark, folder):
+    """Numbered items with their stock, joined to the forecasts of their series, decided, written and read back."""
+    from shelfcast.catalog.tables import scratch
+    from shelfcast.plans.inventory import stock_stage
+    from shelfcast.sources import tables as io
+
+    shelf = classify.number_items(src.panel(spark, folder), ["store_nbr", "family"])
+    item = F.col("item_id")
+    stock = shelf.withColumns(
+        {
+            "current_inventory": (item * 37 % 1400).cast("double"),
+            "unit_cost": (item % 20 + 5).cast("double"),
+            "lead_time": (item % 21 + 7).cast("int"),
+        }
+    )
+    decided = stock_stage(src.forecasts(spark, folder), stock)
+    path = io.write_outputs({"recommendations": decided}, scratch(spark, "stage"))["recommendations"]
+    kept = spark.read.parquet(path)
+    return rounded(kept.select("item_id", "safety_stock", "reorder_point", "eoq", "abc_class", "priority", "action"))

@@ -7,6 +7,7 @@ from shelfcast.catalog.inputs import rounded
 from shelfcast.catalog.inventory import HEALTH, RECS, RESULTS, recommendations
 from shelfcast.catalog.registry import query
 from shelfcast.catalog.sqltext import b, r, with_
+from shelfcast.operators.cleaning import sort_panel
 from shelfcast.operators import classify, reports
 
 FAMILIES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
@@ -353,10 +354,9 @@ def w13(spark, folder):
     return rounded(reports.daily_trend(src.panel(spark, folder)))
 
 
-@query("T1_sorted_keys", with_(src.PANEL, f"SELECT date, {STORE}, family, sales FROM panel ORDER BY 1, 2, 3 LIMIT 100"))
+@query("T1_sorted_keys", with_(src.PANEL, f"SELECT date, {STORE}, family, sales FROM panel ORDER BY 1, 2, 3"))
 def t1(spark, folder):
-    df = src.panel(spark, folder).orderBy("date", "store_nbr", "family").limit(100)
-    return rounded(df.select("date", "store_nbr", "family", "sales"))
+    return rounded(sort_panel(src.panel(spark, folder).select("date", "store_nbr", "family", "sales")))
 
 
 @query("T2_top_series", with_(src.PANEL, f"SELECT {STORE}, family, SUM(sales) AS sales FROM panel GROUP BY panel.store_nbr, family ORDER BY 3 DESC, 1, 2 LIMIT 18"))

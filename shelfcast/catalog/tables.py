@@ -7,7 +7,7 @@ from shelfcast.catalog.inputs import rounded
 from shelfcast.catalog.registry import query
 from shelfcast.catalog.sqltext import KEYS, b, r, with_
 from shelfcast.operators import profile
-from shelfcast.plans.durable import shared_folder
+from shelfcast.plans.durable import run_folder
 from shelfcast.sources import tables as io
 
 
@@ -15,35 +15,43 @@ def scratch(spark, name):
     """A fresh folder in shared storage."""
     import uuid
 
-    return f"{shared_folder(spark).rstrip('/')}/shelfcast/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 PANEL_ROWS = f"SELECT {KEYS}, {r('sales', 'sales')}, onpromotion FROM panel"
 
 
+def stored(spark, table, df, fmt="csv", folder=None):
+    """Write a derived table in the layout of the raw files; its path."""
+    columns = [c for c in io.SCHEMAS[table].fieldNames() if c in df.columns]
+    path = f"{folder or scratch(spark, table)}/{table}.{fmt}"
+    return io.write_table(df.select(*columns), path)
+
+
 @query("S1_sales_scan", with_(src.PANEL, f"SELECT {KEYS}, sales, CAST(onpromotion AS BIGINT) AS onpromotion FROM lines"))
 def s1(spark, folder):
-    return rounded(src.sales_lines(spark, folder))
+    return rounded(io.load_train(spark, stored(spark, "train", src.sales_lines(spark, folder))))
 
 
 @query("S2_future_scan", with_([src.PANEL, src.FUTURE], f"SELECT {KEYS}, onpromotion FROM future"))
 def s2(spark, folder):
-    return rounded(src.future(spark, folder))
+    future = src.future(spark, folder).withColumn("onpromotion", F.col("onpromotion").cast("int"))
+    return rounded(io.load_test(spark, stored(spark, "test", future, "parquet")))
 
 
-@query("S3_stores_scan", with_(src.STORES, f"SELECT {b('store_nbr', 'store_nbr')}, city, state FROM stores"))
+@query("S3_stores_scan", with_(src.STORES, f"SELECT {b('store_nbr', 'store_nbr')}, city, state, type, {b('cluster', 'cluster')} FROM stores"))
 def s3(spark, folder):
-    return rounded(src.stores(spark, folder))
+    return rounded(io.load_stores(spark, stored(spark, "stores", src.stores(spark, folder))))
 
 
 @query("S4_oil_scan", with_(src.OIL, f"SELECT date, {r('dcoilwtico', 'dcoilwtico')} FROM oil"))
 def s4(spark, folder):
-    return rounded(src.oil(spark, folder))
+    return rounded(io.load_oil(spark, stored(spark, "oil", src.oil(spark, folder), "json")))
 
 
 @query("S5_holidays_scan", with_(src.HOLIDAYS, "SELECT date, type, locale, transferred FROM holidays"))
 def s5(spark, folder):
-    return src.holidays(spark, folder)
+    return io.load_holidays(spark, stored(spark, "holidays", src.holidays(spark, folder), "orc"))
 
 
 @query(
@@ -51,7 +59,8 @@ def s5(spark, folder):
     with_([src.PANEL, src.TRANSACTIONS], f"SELECT date, {b('store_nbr', 'store_nbr')}, transactions FROM transactions"),
 )
 def s6(spark, folder):
-    return rounded(src.transactions(spark, folder))
+    loaded = io.load_transactions(spark, stored(spark, "transactions", src.transactions(spark, folder), "parquet"))
+    return rounded(loaded)
 
 
 @query(
@@ -68,13 +77,17 @@ def s6(spark, folder):
     ),
 )
 def s7(spark, folder):
+    """The whole set, written as CSV into one folder and loaded by name."""
     tables = {
         "train": src.panel, "test": src.future, "stores": src.stores, "oil": src.oil,
         "holidays": src.holidays, "transactions": src.transactions,
     }
+    place = scratch(spark, "raw")
+    for name, fn in tables.items():
+        stored(spark, name, fn(spark, folder), folder=place)
     counts = [
-        fn(spark, folder).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows")
-        for n, fn in tables.items()
+        df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows")
+        for n, df in io.load_all(spark, place).items()
     ]
     whole = counts[0]
     for c in counts[1:]:
@@ -112,20 +125,39 @@ def s10(spark, folder):
 @query(
     "S11_outputs",
     with_(
-        [src.PANEL, src.FUTURE, src.FORECASTS],
+        [src.PANEL, src.FUTURE, src.FORECASTS, src.ITEMS],
         """SELECT 'features' AS output, COUNT(*) AS rows FROM panel
-        UNION ALL SELECT 'forecasts', COUNT(*) FROM forecasts""",
+        UNION ALL SELECT 'forecasts', COUNT(*) FROM forecasts
+        UNION ALL SELECT 'recommendations', COUNT(*) FROM items
+        UNION ALL SELECT 'abc', COUNT(*) FROM items
+        UNION ALL SELECT 'backtest', CAST(5 AS BIGINT)""",
     ),
 )
 def s11(spark, folder):
-    paths = io.write_outputs(
-        {"features": src.panel(spark, folder), "forecasts": src.forecasts(spark, folder)}, scratch(spark, "run")
-    )
+    """All five outputs of a run, written and read back."""
+    from shelfcast.operators import classify, inventory
+    from shelfcast.plans import training
+    from shelfcast.plans.durable import durable
+
+    panel = durable(src.panel(spark, folder))
+    items = durable(inventory.optimise_stock(src.items(spark, folder).withColumnRenamed("demand_mean", "forecast")))
+    abc = classify.abc_classes(inventory.annual_value(items, unit_value=10.0))
+    outputs = {
+        "features": panel,
+        "forecasts": src.forecasts(spark, folder),
+        "recommendations": inventory.recommend(items),
+        "abc": abc,
+        "backtest": training.mean_backtest(panel),
+    }
+    paths = io.write_outputs(outputs, scratch(spark, "run"))
     counts = [
         spark.read.parquet(p).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("output"), "rows")
         for n, p in paths.items()
     ]
-    return counts[0].unionByName(counts[1])
+    whole = counts[0]
+    for c in counts[1:]:
+        whole = whole.unionByName(c)
+    return whole
 
 
 @query("S12_page_export", with_(src.PANEL, f"SELECT {KEYS}, {r('sales', 'sales')} FROM panel WHERE family IN ('PROMO', 'SMALL')"))
@@ -193,11 +225,11 @@ def u3(spark, folder):
         [src.PANEL, src.FUTURE],
         f"""SELECT {KEYS}, {r('sales', 'sales')}, onpromotion, is_future FROM (
         SELECT date, store_nbr, family, sales, onpromotion, false AS is_future FROM panel
-        WHERE date > (SELECT MAX(date) FROM panel) - 455
+        QUALIFY row_number() OVER (PARTITION BY store_nbr, family ORDER BY date DESC) <= 60
         UNION ALL SELECT date, store_nbr, family, NULL, onpromotion, true FROM future)""",
     ),
 )
 def u1(spark, folder):
     from shelfcast.plans.forecasting import history_with_future
 
-    return rounded(history_with_future(src.panel(spark, folder), src.future(spark, folder), 365 + 90))
+    return rounded(history_with_future(src.panel(spark, folder), src.future(spark, folder), rows=60))

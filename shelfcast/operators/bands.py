@@ -51,12 +51,53 @@ def residual_offsets(residuals: DataFrame, keys, residual: str = "residual") ->
     return exact_quantiles(residuals, residual, {"r10": 0.1, "r50": 0.5, "r90": 0.9}, keys)
 
 
+LEVELS = ("series", "group", "all")
+
+
+def pooled_offsets(residuals: DataFrame, keys, residual: str = "residual", least: int = 30) -> DataFrame:
+    """Offsets per key, and two wider pools for keys that have none of their own.
+
+    ``level`` is series for keys with at least ``least`` residuals, group for the first key alone (the
+    others null), all for the whole table (all keys null).
+    """
+    keys = list(keys)
+    counted = residuals.groupBy(*keys).agg(F.count(residual).alias("_n")).where(F.col("_n") >= least).select(*keys)
+    own = residual_offsets(residuals, keys, residual).join(counted, keys, "left_semi")
+    group = residual_offsets(residuals, keys[:1], residual)
+    kinds = {f.name: f.dataType for f in residuals.schema.fields}
+    empty = lambda names: [F.lit(None).cast(kinds[k]).alias(k) for k in names]
+    offs = ["r10", "r50", "r90"]
+    every = exact_quantiles(residuals, residual, {"r10": 0.1, "r50": 0.5, "r90": 0.9})
+    parts = [
+        own.select(*keys, *offs, F.lit(LEVELS[0]).alias("level")),
+        group.select(keys[0], *empty(keys[1:]), *offs, F.lit(LEVELS[1]).alias("level")),
+        every.select(*empty(keys), *offs, F.lit(LEVELS[2]).alias("level")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def residual_quantiles(points: DataFrame, offsets: DataFrame, keys, column: str = "prediction") -> DataFrame:
-    """Quantile forecasts: the point plus the residual quantiles of its key (0 for an unknown key)."""
-    joined = points.join(offsets, list(keys), "left")
-    moved = [F.col(column) + F.coalesce(r, F.lit(0.0)) for r in ("r10", "r50", "r90")]
-    fixed = sorted_quantiles(*moved)
-    return joined.withColumns(dict(zip(QUANTILES, fixed))).drop("r10", "r50", "r90")
+    """Quantile forecasts: the point plus the residual quantiles of its key, and the ``level`` they come from.
+
+    With offsets from :func:`pooled_offsets` a key without offsets takes those of its group, else those
+    of all. Plain offsets per key leave the quantiles of an unknown key null: nothing is known of them.
+    """
+    keys, names = list(keys), ["r10", "r50", "r90"]
+    if "level" not in offsets.columns:
+        joined = points.join(offsets, keys, "left").withColumn("level", F.when(F.col("r50").isNotNull(), LEVELS[0]))
+    else:
+        def at(level: str, on) -> DataFrame:
+            part = offsets.where(F.col("level") == level).select(*on, *names)
+            return part.select(*on, F.struct(*names).alias(f"_{level}"))
+
+        joined = points.join(at("series", keys), keys, "left").join(at("group", keys[:1]), keys[:1], "left")
+        joined = joined.withColumn("_all", offsets.where("level = 'all'").agg(F.first(F.struct(*names))).scalar())
+        best = F.coalesce(*[F.col(f"_{v}") for v in LEVELS])
+        found = F.coalesce(*[F.when(F.col(f"_{v}").isNotNull(), v) for v in LEVELS])
+        joined = joined.withColumns({**{n: best[n] for n in names}, "level": found}).drop(*[f"_{v}" for v in LEVELS])
+    known = F.col("r50").isNotNull()
+    fixed = sorted_quantiles(*[F.col(column) + F.col(n) for n in names])
+    return joined.withColumns({q: F.when(known, f) for q, f in zip(QUANTILES, fixed)}).drop(*names)
 
 
 def ensemble_weights(names, weights=None) -> dict[str, float]:

@@ -46,9 +46,20 @@ def missing_value_counts(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame
     )
 
 
-def drop_duplicates(df: DataFrame, subset=None) -> DataFrame:
-    """Drop rows equal in every column, or in ``subset`` only."""
-    return df.dropDuplicates(list(subset)) if subset else df.dropDuplicates()
+def drop_duplicates(df: DataFrame, subset=None, order=()) -> DataFrame:
+    """Drop rows equal in every column, or in ``subset`` only.
+
+    Of rows equal in ``subset`` the first by the columns of ``order`` stays, ties broken by the other
+    columns; nulls come first. Every task keeps its first row of each key before the shuffle.
+    """
+    if not subset:
+        return df.dropDuplicates()
+    subset = list(subset)
+    ranked = [*order, *[c for c in df.columns if c not in subset and c not in order]]
+    if not ranked:
+        return df.dropDuplicates(subset)
+    first = df.groupBy(*subset).agg(F.min(F.struct(*ranked)).alias("_first"))
+    return first.select(*[F.col(c) if c in subset else F.col(f"_first.{c}") for c in df.columns])
 
 
 def duplicate_counts(df: DataFrame) -> DataFrame:
@@ -124,8 +135,12 @@ def sort_panel(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
     return df.orderBy(*[c for c in cols.grain if c in df.columns])
 
 
-def fill_features(df: DataFrame, features, cols: PanelColumns = PANEL) -> DataFrame:
-    """Missing features: last value of the series, else its next value, else 0."""
+def fill_features(df: DataFrame, features, cols: PanelColumns = PANEL, backward: bool = True) -> DataFrame:
+    """Missing features: last value of the series, else its next value, else 0.
+
+    A next value may hold the row's own target (lag 30 of row 31 is the target of row 1), so models
+    leave the backward step out.
+    """
     from shelfcast.operators.features import series_window
 
     w = series_window(df, cols)
@@ -133,7 +148,7 @@ def fill_features(df: DataFrame, features, cols: PanelColumns = PANEL) -> DataFr
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return df.select(
         *[
-            F.coalesce(F.last(c, True).over(w), F.first(c, True).over(whole), F.lit(0)).alias(c)
+            F.coalesce(F.last(c, True).over(w), *([F.first(c, True).over(whole)] if backward else []), F.lit(0)).alias(c)
             if c in features
             else F.col(c)
             for c in df.columns

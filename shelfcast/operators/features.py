@@ -21,8 +21,14 @@ PROMO_WINDOWS = (7, 30)
 
 
 def series_window(df: DataFrame, cols: PanelColumns = PANEL):
-    """Rows of one series by date."""
-    return Window.partitionBy(*cols.series_in(df.columns)).orderBy(cols.date)
+    """Rows of one series by date. A table without the series keys raises: all its rows would be one group.
+
+    Such tables have :func:`add_lags_ungrouped`.
+    """
+    missing = [c for c in cols.series if c not in df.columns]
+    if missing:
+        raise ValueError(f"no series keys {missing}; use add_lags_ungrouped for a table without series")
+    return Window.partitionBy(*cols.series).orderBy(cols.date)
 
 
 def trailing(window, rows: int, gap: int = 0):
@@ -35,6 +41,14 @@ def grain_violations(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
     return df.groupBy(*cols.grain).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
 
 
+def require_daily_grain(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
+    """The panel itself, after a check that no key of the daily grain repeats."""
+    broken = grain_violations(df, cols).first()
+    if broken is not None:
+        raise ValueError(f"not one row per {cols.grain}: {broken}; sum with to_daily_grain first")
+    return df
+
+
 def to_daily_grain(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
     """Sum the target and promotions to one row per (date, store, family)."""
     return df.groupBy(*cols.grain).agg(

@@ -153,11 +153,10 @@ def history_and_forecast(sales: DataFrame, forecasts: DataFrame, days: int = 60,
 
 def priority_mix(recommendations: DataFrame) -> DataFrame:
     """Items per priority and the percentage that needs no attention (neither Critical nor High)."""
-    total = recommendations.agg(F.count(F.lit(1))).scalar()
-    calm = recommendations.agg(F.count_if(~F.col("priority").isin("Critical", "High"))).scalar()
-    return recommendations.groupBy("priority").agg(F.count(F.lit(1)).alias("items")).withColumn(
-        "healthy_percent", F.lit(100.0) * ratio(calm, total)
-    )
+    every = Window.partitionBy()  # one row per priority
+    counted = recommendations.groupBy("priority").agg(F.count(F.lit(1)).alias("items"))
+    calm = F.sum(F.when(F.col("priority").isin("Critical", "High"), 0).otherwise(F.col("items"))).over(every)
+    return counted.withColumn("healthy_percent", F.lit(100.0) * ratio(calm, F.sum("items").over(every)))
 
 
 def critical_items(recommendations: DataFrame, k: int = 5) -> DataFrame:

@@ -9,7 +9,7 @@ from shelfcast.operators import cleaning, profile
 from shelfcast.plans.durable import durable
 
 
-def clean(raw: DataFrame, outlier_method: str = "iqr", mode: str = "p99", subset=None,
+def clean(raw: DataFrame, outlier_method: str = "iqr", mode: str = "p99", subset=None, order=(),
           cols: PanelColumns = PANEL) -> DataFrame:
     """Types, missing values, duplicates, outliers.
 
@@ -17,7 +17,7 @@ def clean(raw: DataFrame, outlier_method: str = "iqr", mode: str = "p99", subset
     read from them. Rows are left unsorted; sort at a sink with ``sort_panel``.
     """
     typed = cleaning.fill_missing(cleaning.coerce_types(raw, cols), cols)
-    distinct = durable(cleaning.drop_duplicates(typed, subset))
+    distinct = durable(cleaning.drop_duplicates(typed, subset, order))
     return cleaning.replace_outliers(distinct, outlier_method, mode, cols)
 
 

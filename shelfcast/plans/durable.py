@@ -20,6 +20,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Folder of this application's stored copies, inside the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/shelfcast/{spark.sparkContext.applicationId}"
+
+
+def drop_copies(spark: SparkSession) -> None:
+    """Delete this application's stored copies. No DataFrame that was built on them can be read afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write the rows once and read them back.
 
@@ -28,6 +39,6 @@ def durable(df: DataFrame) -> DataFrame:
     sort-merge join beyond it.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/shelfcast/{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,8 +8,10 @@ and a random forest, and quantiles are holdout residual quantiles added to the p
 from __future__ import annotations
 
 import json
+import math
 import random
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -20,16 +22,33 @@ from pyspark.sql import functions as F
 from shelfcast.columns import PANEL, PanelColumns
 from shelfcast.operators import bands, evaluation
 from shelfcast.operators.cleaning import fill_features
-from shelfcast.operators.features import LAGS
+from shelfcast.operators.features import LAGS, require_daily_grain
 from shelfcast.operators.profile import feature_columns, require_rows
 from shelfcast.plans.durable import durable
 from shelfcast.plans.features import engineer
-from shelfcast.plans.folds import Fold, expanding_folds, label_slices, rolling_folds
+from shelfcast.plans.folds import Fold, expanding_folds, label_slices, rolling_folds, split_date
 
 FEATURES, LABEL, PREDICTION = "features", "label", "prediction"
 
-# Search ranges of the boosted-tree settings.
-SEARCH_RANGES = {"maxIter": (5, 20), "maxDepth": (3, 7), "stepSize": (0.01, 0.3), "subsamplingRate": (0.6, 1.0)}
+# Search ranges of the boosted-tree settings that MLlib has. featureSubsetStrategy is the
+# share of columns, minInstancesPerNode the least rows of a leaf, minInfoGain the least gain of a split.
+SEARCH_RANGES = {
+    "maxIter": (100, 2000),
+    "maxDepth": (3, 10),
+    "stepSize": (0.01, 0.3),
+    "subsamplingRate": (0.6, 1.0),
+    "featureSubsetStrategy": (0.6, 1.0),
+    "minInstancesPerNode": (1, 7),
+    "minInfoGain": (0.0, 0.4),
+}
+TRIALS = 50
+
+# Rounds of boosting, ended early on the stop slice; trees of the forest.
+ROUNDS = 1_000
+FOREST_TREES = 100
+SLICES = ("train", "stop", "calibrate", "report")
+PARALLEL_FITS = 4
+STOP_SHARE = 0.15
 
 
 # estimators ----------------------------------------------------------------------------------
@@ -45,7 +64,7 @@ def tweedie_glm(variance_power: float = 1.2, reg: float = 0.01, max_iter: int =
 
 def boosted_trees(validation: str | None = None, **settings) -> Estimator:
     """Squared-loss boosted trees; with a validation column they stop early."""
-    chosen = {"maxIter": 20, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42, **settings}
+    chosen = {"maxIter": ROUNDS, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42, **settings}
     if validation:
         chosen["validationIndicatorCol"] = validation
     return GBTRegressor(featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION, **chosen)
@@ -53,7 +72,7 @@ def boosted_trees(validation: str | None = None, **settings) -> Estimator:
 
 def random_forest(**settings) -> Estimator:
     """Second tree learner of the ensemble."""
-    chosen = {"numTrees": 20, "maxDepth": 6, "subsamplingRate": 0.8, "seed": 42, **settings}
+    chosen = {"numTrees": FOREST_TREES, "maxDepth": 6, "subsamplingRate": 0.8, "seed": 42, **settings}
     return RandomForestRegressor(featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION, **chosen)
 
 
@@ -71,7 +90,7 @@ def model_features(panel: DataFrame, oil=None, holidays=None, transactions=None,
     wide = engineer(panel, oil, holidays, transactions, gap=horizon, series_mean=False, lags=lags,
                     windows=windows, cols=cols)
     gaps = (f"{cols.target}_", f"{cols.promo}_lag_", "oil_")
-    return fill_features(wide, [c for c in feature_columns(wide, cols) if c.startswith(gaps)], cols)
+    return fill_features(wide, [c for c in feature_columns(wide, cols) if c.startswith(gaps)], cols, backward=False)
 
 
 def assemble(df: DataFrame, columns, cols: PanelColumns = PANEL, keep=()) -> DataFrame:
@@ -84,10 +103,10 @@ def assemble(df: DataFrame, columns, cols: PanelColumns = PANEL, keep=()) -> Dat
     return assembler.transform(cast).select(*cols.grain, *keep, LABEL, FEATURES)
 
 
-def training_matrix(features: DataFrame, columns, fractions=(0.7, 0.85), cols: PanelColumns = PANEL) -> DataFrame:
-    """Stored matrix with its slice: train, early stopping, report."""
+def training_matrix(features: DataFrame, columns, fractions=(0.7, 0.775, 0.85), cols: PanelColumns = PANEL) -> DataFrame:
+    """Stored matrix with its slice: train, early stopping, calibration of the bands, report."""
     known = features.where(F.col(cols.target).isNotNull())
-    return label_slices(durable(assemble(known, columns, cols)), fractions, ("train", "stop", "report"), cols)
+    return label_slices(durable(assemble(known, columns, cols)), fractions, SLICES, cols)
 
 
 # fitting -------------------------------------------------------------------------------------
@@ -142,25 +161,56 @@ def sample_settings(trials: int, seed: int = 42, ranges=None) -> list[dict]:
     for _ in range(trials):
         out.append(
             {
-                name: rng.randint(low, high) if isinstance(low, int) else round(rng.uniform(low, high), 4)
-                for name, (low, high) in (ranges or SEARCH_RANGES).items()
+                name: _draw(rng, name, low, high) for name, (low, high) in (ranges or SEARCH_RANGES).items()
             }
         )
     return out
 
 
+def _draw(rng: random.Random, name: str, low, high):
+    if isinstance(low, int):
+        return rng.randint(low, high)
+    value = math.exp(rng.uniform(math.log(low), math.log(high))) if name == "stepSize" else rng.uniform(low, high)
+    return str(round(value, 4)) if name == "featureSubsetStrategy" else round(value, 4)
+
+
+def early_stopped(**settings) -> Estimator:
+    """Boosted trees that end on the last dates of whatever rows they are fitted on."""
+    return boosted_trees("_stop", **settings)
+
+
+def fit_fold(estimator: Estimator, rows: DataFrame, cols: PanelColumns = PANEL):
+    """Fit; an estimator that stops early gets the last STOP_SHARE of the rows, by date, to stop on."""
+    if estimator.hasParam("validationIndicatorCol") and estimator.isSet("validationIndicatorCol"):
+        cut = split_date(rows, 1 - STOP_SHARE, cols)
+        rows = rows.withColumn(estimator.getValidationIndicatorCol(), F.col(cols.date) > cut)
+    return fit(estimator, rows)
+
+
 def _fold_score(estimator: Estimator, matrix: DataFrame, fold: Fold, metrics, cols) -> dict:
-    model = fit(estimator, fold.train(matrix, cols.date))
+    model = fit_fold(estimator, fold.train(matrix, cols.date), cols)
     return score(predict(model, fold.test(matrix, cols.date)), metrics)
 
 
-def tune(matrix: DataFrame, factory: Callable[..., Estimator] = boosted_trees, trials: int = 10, folds: int = 3,
+def in_parallel(work: Callable, items, at_once: int = PARALLEL_FITS) -> list:
+    """Results in order; the jobs of several fits share the cluster."""
+    items = list(items)
+    if not items:
+        return []
+    with ThreadPool(min(at_once, len(items))) as pool:
+        return pool.map(work, items)
+
+
+def tune(matrix: DataFrame, factory: Callable[..., Estimator] = early_stopped, trials: int = TRIALS, folds: int = 3,
          seed: int = 42, ranges=None, cols: PanelColumns = PANEL) -> DataFrame:
     """Trial table: settings, mean WMAPE over expanding folds, and whether it is the best."""
-    cuts, rows = expanding_folds(matrix, folds, cols), []
-    for i, settings in enumerate(sample_settings(trials, seed, ranges), 1):
-        scores = [_fold_score(factory(**settings), matrix, f, ("wmape",), cols)["wmape"] for f in cuts]
-        rows.append((i, json.dumps(settings), float(sum(scores) / len(scores))))
+    cuts, settings = expanding_folds(matrix, folds, cols), sample_settings(trials, seed, ranges)
+    jobs = [(s, f) for s in settings for f in cuts]
+    scores = in_parallel(lambda j: _fold_score(factory(**j[0]), matrix, j[1], ("wmape",), cols)["wmape"], jobs)
+    rows = [
+        (i + 1, json.dumps(s), float(sum(scores[i * len(cuts) : (i + 1) * len(cuts)]) / len(cuts)))
+        for i, s in enumerate(settings)
+    ]
     spark = matrix.sparkSession
     table = spark.createDataFrame(rows, "trial int, settings string, wmape double")
     best = F.min_by("trial", F.struct("wmape", "trial")).over(Window.partitionBy())  # one row per trial
@@ -170,10 +220,9 @@ def tune(matrix: DataFrame, factory: Callable[..., Estimator] = boosted_trees, t
 def cross_validate(matrix: DataFrame, factory: Callable[[], Estimator], folds: int = 5, metric: str = "wmape",
                    cols: PanelColumns = PANEL) -> DataFrame:
     """Expanding-window scores with their mean and sample std."""
-    rows = [
-        (f.number, f.cutoff, float(_fold_score(factory(), matrix, f, (metric,), cols)[metric]))
-        for f in expanding_folds(matrix, folds, cols)
-    ]
+    cuts = expanding_folds(matrix, folds, cols)
+    scores = in_parallel(lambda f: _fold_score(factory(), matrix, f, (metric,), cols)[metric], cuts)
+    rows = [(f.number, f.cutoff, float(s)) for f, s in zip(cuts, scores)]
     table = matrix.sparkSession.createDataFrame(rows, "fold int, cutoff date, score double")
     every = Window.partitionBy()  # one row per fold
     return table.withColumns({"mean": F.avg("score").over(every), "std": F.stddev_samp("score").over(every)})
@@ -185,13 +234,17 @@ BACKTEST_SCHEMA = "fold int, cutoff date, n_train bigint, n_test bigint, wmape d
 def rolling_backtest(matrix: DataFrame, factory: Callable[[], Estimator], n_splits: int = 5, horizon: int = 30,
                      min_train_frac: float = 0.5, cols: PanelColumns = PANEL) -> DataFrame:
     """Refit at several cutoffs, score the next dates. ``factory`` returns a fresh Estimator."""
-    rows = []
-    for f in rolling_folds(matrix, n_splits, horizon, min_train_frac, cols):
-        train = f.train(matrix, cols.date)
-        tested = predict(fit(factory(), train), f.test(matrix, cols.date))
-        figures = fold_figures(tested, F.col(LABEL), F.col(PREDICTION)).first()
-        rows.append((f.number, f.cutoff, train.count(), figures["n_test"], figures["wmape"], figures["mae"]))
-    return matrix.sparkSession.createDataFrame(rows, BACKTEST_SCHEMA)
+    folds = rolling_folds(matrix, n_splits, horizon, min_train_frac, cols)
+    if not folds:
+        return matrix.sparkSession.createDataFrame([], BACKTEST_SCHEMA)
+    counts = matrix.agg(*[F.count_if(F.col(cols.date) <= F.lit(f.cutoff)) for f in folds]).first()
+
+    def run(fold: Fold) -> tuple:
+        model = fit_fold(factory(), fold.train(matrix, cols.date), cols)
+        figures = fold_figures(predict(model, fold.test(matrix, cols.date)), F.col(LABEL), F.col(PREDICTION)).first()
+        return fold.number, fold.cutoff, counts[fold.number - 1], figures["n_test"], figures["wmape"], figures["mae"]
+
+    return matrix.sparkSession.createDataFrame(in_parallel(run, folds), BACKTEST_SCHEMA)
 
 
 def fold_figures(df: DataFrame, actual, predicted, by=()) -> DataFrame:
@@ -290,11 +343,15 @@ def model_info(path: str, spark: SparkSession) -> DataFrame:
 
 
 def train(panel: DataFrame, oil=None, holidays=None, transactions=None, horizon: int = 30, trees: dict | None = None,
-          forest: dict | None = None, weights=None, cols: PanelColumns = PANEL) -> dict:
-    """Split, fit boosted trees and forest, report on the last slice, learn residual quantiles.
+          forest: dict | None = None, weights=None, backtest_splits: int = 0, save_to: str | None = None,
+          check_grain: bool = True, cols: PanelColumns = PANEL) -> dict:
+    """Split, fit boosted trees and forest, learn residual quantiles, report on the last slice.
 
-    Trees stop on one slice and are reported on a later one.
+    Trees stop on one slice, bands are learnt on the next and all is reported on the last.
+    ``backtest_splits`` adds a rolling backtest of the forest, ``save_to`` a folder with the models.
     """
+    if check_grain:
+        require_daily_grain(panel, cols)
     features = model_features(panel, oil, holidays, transactions, horizon, cols=cols)
     columns = feature_columns(features, cols)
     matrix = training_matrix(features, columns, cols=cols)
@@ -305,14 +362,25 @@ def train(panel: DataFrame, oil=None, holidays=None, transactions=None, horizon:
     held = durable(
         ensemble_predict(models, matrix.where(F.col("slice") != "train"), weights, cols).drop(FEATURES)
     )
-    offsets = bands.residual_offsets(
-        residuals(held.where(F.col("slice") == "stop"), cols), cols.series
-    )
-    return {
+    calibration = durable(residuals(held.where(F.col("slice") == "calibrate"), cols))
+    offsets = bands.pooled_offsets(calibration, cols.series)
+    report = held.where(F.col("slice") == "report")
+    metrics = score(report, ("mae", "rmse", "mape", "wmape", "r2"))
+    extra = {}
+    if backtest_splits:
+        extra["backtest"] = rolling_backtest(
+            matrix, lambda: random_forest(**(forest or {})), backtest_splits, horizon, cols=cols
+        )
+    if save_to:
+        spark = panel.sparkSession
+        extra["saved"] = {
+            n: save_model(m, f"{save_to.rstrip('/')}/{n}", spark, n, columns, metrics) for n, m in models.items()
+        }
+    return extra | {
         "models": models,
         "columns": columns,
         "matrix": matrix,
         "offsets": durable(offsets),
-        "holdout": held.where(F.col("slice") == "report"),
-        "metrics": score(held.where(F.col("slice") == "report"), ("mae", "rmse", "mape", "wmape", "r2")),
+        "holdout": report,
+        "metrics": metrics,
     }

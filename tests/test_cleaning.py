@@ -110,3 +110,12 @@ def test_skew_and_kurtosis_need_enough_rows(series):
 def test_empty_model_input(series):
     with pytest.raises(ValueError):
         profile.require_rows(series([1.0]).limit(0))
+
+
+def test_kept_row_follows_the_order(spark):
+    from shelfcast.operators.cleaning import drop_duplicates
+
+    rows = spark.createDataFrame([(1, 5.0, "b"), (1, 3.0, "c"), (1, 3.0, "a"), (2, None, "z"), (2, 1.0, "y")], "k int, v double, w string")
+    kept = drop_duplicates(rows.repartition(3), ["k"], order=["v"]).orderBy("k").collect()
+    assert [tuple(r) for r in kept] == [(1, 3.0, "a"), (2, None, "z")]
+    assert drop_duplicates(rows.select("k"), ["k"]).count() == 2

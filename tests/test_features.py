@@ -175,3 +175,19 @@ def test_anomaly(spark):
     daily = spark.createDataFrame([(DAY0 + timedelta(days=i), v) for i, v in enumerate(values)], "date date, sales double")
     assert [r.date for r in anomalies(daily).where("is_anomaly").collect()] == [DAY0 + timedelta(days=20)]
     assert anomalies(daily.limit(4)).where("is_anomaly").count() == 0
+
+
+def test_tables_without_series_raise(make_panel):
+    from shelfcast.operators.features import add_lags, add_rolling
+
+    bare = make_panel(5).drop("family")
+    for build in (add_lags, add_rolling):
+        with pytest.raises(ValueError, match="add_lags_ungrouped"):
+            build(bare)
+
+
+def test_series_features_use_no_single_task(make_panel):
+    from shelfcast.plans.features import engineer
+
+    plan = engineer(make_panel(40))._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan

@@ -122,3 +122,71 @@ def test_empty_input(trained):
 def test_feature_columns_leave_out_keys(trained):
     assert not {"sales", "date", "store_nbr", "family"} & set(trained["columns"])
     assert feature_columns(trained["matrix"]) == ["label"]
+
+
+def test_features_of_a_row_are_the_same_in_both_jobs(make_panel):
+    """A panel with gaps: what the forecast job builds for later rows is what training builds for them."""
+    from shelfcast.plans.durable import durable
+    from shelfcast.plans.forecasting import future_features
+
+    whole = make_panel(520, (1, 2), ("GROCERY", "DAIRY"), promo=lambda i: int(i % 11 == 0))
+    gappy = durable(whole.where("(dayofyear(date) * 7 + store_nbr * 3) % 5 <> 0"))
+    last = DAY0 + timedelta(days=489)
+    built = training.model_features(gappy, horizon=30)
+    columns = feature_columns(built)
+    keys = ["date", "store_nbr", "family"]
+    want = built.where(F.col("date") > F.lit(last)).select(*keys, *columns)
+    future = gappy.where(F.col("date") > F.lit(last)).drop("sales")
+    got = future_features(gappy.where(F.col("date") <= F.lit(last)), future, columns, horizon=30).select(*keys, *columns)
+    rows = [sorted(map(tuple, df.collect()), key=str) for df in (want, got)]
+    assert len(rows[0]) > 50
+    for a, b in zip(*rows):
+        assert a == pytest.approx(b, nan_ok=True)
+
+
+def test_no_feature_holds_the_rows_own_target(make_panel):
+    panel = make_panel(60, (1,), ("GROCERY",))
+    changed = panel.withColumn("sales", F.when(F.col("date") == F.lit(DAY0), 1e6).otherwise(F.col("sales")))
+    columns = feature_columns(training.model_features(panel, horizon=14))
+    first = [training.model_features(p, horizon=14).where(F.col("date") == F.lit(DAY0)).select(*columns).first() for p in (panel, changed)]
+    assert first[0] == first[1]
+
+
+def test_line_rows_raise(make_panel):
+    panel = make_panel(40, (1,), ("GROCERY",))
+    with pytest.raises(ValueError, match="to_daily_grain"):
+        training.train(panel.union(panel))
+
+
+def test_job_with_backtest_and_saved_models(panel, spark, tmp_path):
+    small = {"numTrees": 3, "maxDepth": 3}
+    done = training.train(panel, horizon=14, trees={"maxIter": 3}, forest=small, backtest_splits=2, save_to=str(tmp_path / "run"))
+    assert done["backtest"].count() == 2
+    for name, path in done["saved"].items():
+        assert training.model_info(path, spark).first().name == name
+    slices = {r["slice"] for r in done["matrix"].select("slice").distinct().collect()}
+    assert slices == set(training.SLICES)
+
+
+def test_search_settings_cover_what_the_trees_have():
+    for settings in training.sample_settings(20):
+        assert settings.keys() == training.SEARCH_RANGES.keys()
+        training.early_stopped(**settings)
+
+
+def test_bands_of_unknown_series_are_wide(spark):
+    from shelfcast.operators import bands
+
+    rows = [(s, f, float((i * 7 + s) % 11 - 5)) for s in (1, 2) for f in ("A", "B") for i in range(40)]
+    residuals = spark.createDataFrame(rows, "store_nbr int, family string, residual double")
+    points = spark.createDataFrame(
+        [(1, "A", 50.0), (1, "NEW", 50.0), (9, "A", 50.0)], "store_nbr int, family string, prediction double"
+    )
+    keys = ["store_nbr", "family"]
+    out = {(r.store_nbr, r.family): r for r in bands.residual_quantiles(points, bands.pooled_offsets(residuals, keys), keys).collect()}
+    assert [out[k].level for k in ((1, "A"), (1, "NEW"), (9, "A"))] == ["series", "group", "all"]
+    assert all(r.forecast_hi > r.forecast_lo for r in out.values())
+    few = bands.residual_quantiles(points, bands.pooled_offsets(residuals, keys, least=41), keys)
+    assert {r.level for r in few.collect()} == {"group", "all"}
+    plain = bands.residual_quantiles(points, bands.residual_offsets(residuals, keys), keys).where("family = 'NEW'").first()
+    assert plain.forecast_lo is None and plain.level is None
