@@ -32,7 +32,7 @@ NEARLY_FULL = 4
 BINS_PER_TASK = 50_000
 FAN_IN = 8
 PIECES_AT_ONCE = 200_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 PIECES = (
     "doc_id {id}, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"

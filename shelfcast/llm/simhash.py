@@ -67,7 +67,7 @@ def fingerprint_texts(texts: pa.Array, size: int = SHINGLE) -> np.ndarray:
     spans = np.zeros(len(data) + 1, np.int8)
     spans[starts] += 1
     spans[ends] -= 1
-    packed[inside] = data[np.cumsum(spans[:-1]).astype(bool)] if len(starts) else packed[inside]
+    packed[inside] = data[np.cumsum(spans[:-1], dtype=np.int8).view(bool)] if len(starts) else packed[inside]
     first = np.searchsorted(starts, offsets, side="left")
     out = np.zeros(len(offsets) - 1, np.uint64)
     for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):

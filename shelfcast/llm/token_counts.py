@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from shelfcast.llm.words import distinct, slices, split_words
 
 START = "▁"
-MOST_NODES = 600_000
+MOST_NODES = 300_000
 LONG_WORD = 64
 PENALTY = 10.0
 

@@ -63,7 +63,7 @@ def features_of(word: bytes) -> tuple[str, ...]:
 class Seen:
     """Numbers of the known features of a word, remembered for a bounded number of words."""
 
-    MOST = 300_000
+    MOST = 200_000
 
     def __init__(self, names: Iterable[str]):
         self.number = {n: k for k, n in enumerate(names)}

@@ -17,7 +17,7 @@ SPACES = b" \t\n\x0b\x0c\r"
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 
 @dataclass
