@@ -185,7 +185,25 @@ def e13(spark, folder):
     return rounded(evaluation.heteroscedasticity(src.predictions(spark, folder), with_p_value=False))
 
 
-@query("E13_heteroscedasticity_p_value")
+def cosine_sql(low: str) -> str:
+    """Simpson's rule for cos(t) ** (n - 3) from ``low`` on, in 400 steps."""
+    high = f"least(pi() / 2, sqrt(({low}) * ({low}) + CAST(80 AS DOUBLE) / greatest(n - 3, 1)))"
+    step = f"(({high}) - ({low})) / CAST(400 AS DOUBLE)"
+    return f"""list_sum(list_transform(range(0, 401), lambda k : CASE WHEN k = 0 OR k = 400 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
+      * pow(cos(({low}) + k * ({step})), n - 3))) * ({step}) / 3"""
+
+
+@query(
+    "E13_heteroscedasticity_p_value",
+    with_(
+        [
+            src.PANEL,
+            src.PREDICTIONS,
+            "one AS (SELECT COUNT(*) AS n, corr(predicted, (predicted - actual) * (predicted - actual)) AS c FROM predictions)",
+        ],
+        f"""SELECT n, {r('c', 'correlation', 6)}, {r(f"({cosine_sql('asin(abs(c))')}) / ({cosine_sql('CAST(0 AS DOUBLE)')})", 'p_value', 6)} FROM one""",
+    ),
+)
 def e13_p(spark, folder):
     return rounded(evaluation.heteroscedasticity(src.predictions(spark, folder)), 6)
 
@@ -222,6 +240,20 @@ def x2(spark, folder):
     return evaluation.report_json(evaluation.evaluation_report(pairs, "seasonal naive"))
 
 
+@query(
+    "X2_json_fields",
+    with_(
+        [src.PANEL, src.PREDICTIONS, PROFILE],
+        f"""SELECT 'seasonal naive' AS model, wmape, r2, {r('n / 6.0 * (skewness * skewness + kurtosis * kurtosis / 4)', 'jarque_bera')}
+        FROM prof, (SELECT {r(ACC['wmape'], 'wmape')}, {r(ACC['r2'], 'r2')} FROM predictions)""",
+    ),
+)
+def x2_fields(spark, folder):
+    """The JSON report parsed back into columns."""
+    fields = F.from_json("report", "model string, wmape double, r2 double, jarque_bera double")
+    return rounded(x2(spark, folder).select(fields.alias("j")).select("j.*"))
+
+
 MODELS = {
     "lag 7": "lag(sales, 7)", "lag 14": "lag(sales, 14)", "lag 1": "lag(sales, 1)", "last value": "lag(sales, 1)",
 }

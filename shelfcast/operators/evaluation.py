@@ -132,7 +132,7 @@ def heteroscedasticity(df: DataFrame, with_p_value: bool = True, actual: str = A
     one = usable_pairs(df, actual, predicted).agg(
         F.count(F.lit(1)).alias("n"), correlation(F.col(predicted), e * e).alias("correlation")
     )
-    return one.withColumn("p_value", correlation_p_value_column("correlation", "n")) if with_p_value else one
+    return one.withColumn("p_value", correlation_p_value_column(F.col("correlation"), F.col("n"))) if with_p_value else one
 
 
 def compare_models(metrics: DataFrame, by: str = "wmape") -> DataFrame:

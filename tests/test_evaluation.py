@@ -76,3 +76,16 @@ def test_interval_honours_the_level(spark):
     narrow, wide = (bands.normal_interval(df, c, 2.0).first() for c in (0.5, 0.95))
     assert narrow.upper < wide.upper == pytest.approx(10 + 1.959964 * 2)
     assert bands.heuristic_band(df).select(F.round("lower", 6), F.round("upper", 6)).first()[:] == (9.0, 11.0)
+
+
+def test_p_value_column_follows_the_exact_value(spark):
+    from pyspark.sql import functions as F
+
+    from shelfcast.functions.stats import correlation_p_value, correlation_p_value_column
+
+    cases = [(r, n) for r in (-0.99, -0.4, 0.0, 0.01, 0.3, 1.0) for n in (3, 4, 5, 12, 300, 100_000)] + [(0.5, 2), (None, 10)]
+    rows = spark.createDataFrame(cases, "r double, n long")
+    found = rows.select("r", "n", correlation_p_value_column(F.col("r"), F.col("n")).alias("p")).collect()
+    for f in found:
+        want = correlation_p_value(f.r, f.n)
+        assert f.p == pytest.approx(want, rel=1e-5, abs=1e-9, nan_ok=True), f
