@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfcast.columns import PANEL, PanelColumns
-from shelfcast.operators.quantiles import exact_quantiles
+from shelfcast.operators.quantiles import quantiles_of_counts, value_counts
+from shelfcast.plans.durable import durable
 
 
 def _percent(part, whole):
@@ -121,32 +122,35 @@ def quality_report(df: DataFrame) -> DataFrame:
     )
 
 
-def adjusted_skewness(value: str):
-    """Bias-adjusted skewness from the population form."""
-    n = F.count(value).cast("double")
-    g1 = F.skewness(value)
-    return F.when(n > 2, F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)) * g1)
-
-
-def adjusted_kurtosis(value: str):
-    """Bias-adjusted excess kurtosis from the population form."""
-    n = F.count(value).cast("double")
-    g2 = F.kurtosis(value)
-    scale = (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0))
-    return F.when(n > 3, scale * ((n + 1) * g2 + 6))
-
-
 def target_profile(df: DataFrame, target: str = "sales") -> DataFrame:
-    """Mean, sample std, min, max, median, adjusted skewness and kurtosis of one column."""
-    median = exact_quantiles(df, target, {"median": 0.5}).scalar()
-    return df.agg(
-        F.avg(target).alias("mean"),
-        F.stddev_samp(target).alias("std"),
-        F.min(target).alias("min"),
-        F.max(target).alias("max"),
-        adjusted_skewness(target).alias("skewness"),
-        adjusted_kurtosis(target).alias("kurtosis"),
-    ).withColumn("median", median)
+    """Mean, sample std, min, max, median, adjusted skewness and kurtosis of one column.
+
+    The rows are read once, for the count of each value; all figures follow from that table.
+    """
+    counts = durable(value_counts(df, target))
+    n, v = F.col("_n"), F.col("_v")
+    mean = counts.agg(F.sum(n * v) / F.sum(n)).scalar()
+    off = v - mean
+    sums = counts.agg(
+        F.sum(n).cast("double").alias("n"),
+        (F.sum(n * v) / F.sum(n)).alias("mean"),
+        *[F.sum(n * F.pow(off, F.lit(float(k)))).alias(f"m{k}") for k in (2, 3, 4)],
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
+    )
+    size, m2, m3, m4 = F.col("n"), F.col("m2"), F.col("m3"), F.col("m4")
+    spread = F.nullif(m2, F.lit(0.0))
+    g1 = F.sqrt(size) * m3 / F.pow(spread, F.lit(1.5))
+    g2 = size * m4 / (spread * spread) - 3
+    scale = (size - 1) / F.nullif((size - 2) * (size - 3), F.lit(0.0))
+    return sums.select(
+        "mean",
+        F.sqrt(m2 / F.nullif(size - 1, F.lit(0.0))).alias("std"),
+        "min",
+        "max",
+        F.when(size > 2, F.sqrt(size * (size - 1)) / F.nullif(size - 2, F.lit(0.0)) * g1).alias("skewness"),
+        F.when(size > 3, scale * ((size + 1) * g2 + 6)).alias("kurtosis"),
+    ).withColumn("median", quantiles_of_counts(counts, {"median": 0.5}).scalar())
 
 
 def categorical_profile(df: DataFrame, columns) -> DataFrame:

@@ -8,18 +8,24 @@ from pyspark.sql import functions as F
 from shelfcast.operators.ordering import running_totals
 
 
+def value_counts(df: DataFrame, value: str, keys=()) -> DataFrame:
+    """Rows (keys, _v, _n): how often each value occurs; nulls are left out."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v"))
+    return counted.agg(F.count(F.lit(1)).alias("_n"))
+
+
 def exact_quantiles(df: DataFrame, value: str, probabilities: dict[str, float], keys=()) -> DataFrame:
     """One row per key with the requested quantiles of ``value`` (nulls ignored).
 
     Rows are first reduced to a count per distinct value, then ranked along the value in ranges, so
     a key that holds most of the table is spread over many tasks.
     """
+    return quantiles_of_counts(value_counts(df, value, keys), probabilities, keys)
+
+
+def quantiles_of_counts(counts: DataFrame, probabilities: dict[str, float], keys=()) -> DataFrame:
+    """The same from :func:`value_counts`."""
     keys = list(keys)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
     ranked = running_totals(counts, [F.col("_v")], {"_upto": "_n"}, keys)
     first, last, n = F.col("_upto") - F.col("_n"), F.col("_upto"), F.col("_upto_total")
 

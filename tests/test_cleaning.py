@@ -119,3 +119,17 @@ def test_kept_row_follows_the_order(spark):
     kept = drop_duplicates(rows.repartition(3), ["k"], order=["v"]).orderBy("k").collect()
     assert [tuple(r) for r in kept] == [(1, 3.0, "a"), (2, None, "z")]
     assert drop_duplicates(rows.select("k"), ["k"]).count() == 2
+
+
+def test_profile_and_mix_read_their_input_once(spark, make_panel, tmp_path):
+    from shelfcast.operators.profile import target_profile
+    from shelfcast.operators.reports import priority_mix
+
+    path = str(tmp_path / "rows")
+    make_panel(40).write.parquet(path)
+    rows = spark.read.parquet(path)
+    plan = target_profile(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "family" not in plan and target_profile(rows).first()["median"] is not None
+    mixed = rows.select((rows.sales > 70).cast("string").alias("priority"))
+    plan = priority_mix(mixed)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
