@@ -164,8 +164,11 @@ def mix(docs: DataFrame, members: Column, size: Column, wanted=targets, id_col:
     for r, m, f in zip(patterns, lists, flow):
         whole, rest = divmod(sum(f.values()), r["words"]) if r["words"] else (0, 0)
         plan.append((r["key"], sum(sizes[s] for s in m), float(sum(goal[s] for s in m)), whole, rest, -(-r["rows"] // BUCKET_ROWS)))
-    plan = spark.createDataFrame(
-        plan, "key string, source_size long, target double, whole long, rest long, buckets long"
+    # Written once, so that the planner knows how small it is and joins it without a shuffle.
+    plan = durable(
+        spark.createDataFrame(
+            plan, "key string, source_size long, target double, whole long, rest long, buckets long"
+        ).coalesce(1)
     )
     bucket = F.pmod("place", "buckets")
     dealt = light.join(plan.select("key", "rest", "buckets"), "key").withColumn("bucket", bucket)
@@ -192,8 +195,7 @@ def mix(docs: DataFrame, members: Column, size: Column, wanted=targets, id_col:
     filler = ~F.col("in") & (nearest == 1) & (F.col("off") < F.col("gap"))
     chosen = durable(cut.withColumn("extra", F.col("in") | filler).where("extra").select("key", "place", F.col("id").alias("chosen_id"), F.lit(True).alias("extra")))
 
-    plan = plan.join(edge.select("key", F.col("bucket").alias("edge")), "key", "left")
-    other = fresh("key", keyed.columns)
+    plan = durable(plan.join(edge.select("key", F.col("bucket").alias("edge")), "key", "left").coalesce(1))
     plan = plan.select(*[F.col(c).alias(f"plan_{c}_{key}") for c in plan.columns])
     chosen = chosen.select(*[F.col(c).alias(f"chosen_{c}_{key}") for c in chosen.columns])
     p = lambda c: F.col(f"plan_{c}_{key}")
