@@ -5,10 +5,8 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Coefficients of Wichura's algorithm AS 241 for normal percentage points (Applied
 # Statistics 37, 1988), highest power first: numerator and denominator near the centre, in the

@@ -13,7 +13,7 @@ import random
 from collections.abc import Callable
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
