@@ -81,7 +81,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         F.explode(chunk_array(text, **options)).alias("c"),
     )
     many = chunks.where("c.lines > 1").select("id", "doc", "c.start", "c.lines", "c.body")
-    many = many.where(F.regexp_replace("body", r"[\x20\x09-\x0D]+", "") != "")
+    many = many.where(F.col("body").rlike(r"[^\x20\x09-\x0D]"))
     groups = (
         many.groupBy(F.md5("body").alias("hash"), "body")
         .agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "doc", "start")).alias("first"))
