@@ -3,6 +3,9 @@
 A rolling hash over the hashes of the last lines decides where a chunk ends. The cut depends on
 those lines alone, so an inserted line shifts nothing beyond the next cuts. Chunks of two or more
 lines that occur again anywhere in the table are removed, except at their first place.
+
+``deduplicate_passages`` has no cuts: it compares every pair of neighbouring lines and every long
+line, so a repeated passage is found whole wherever it starts.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ WINDOW = 2
 MEAN_LINES = 2
 BASE = 1_000_003
 PRIME = 2_147_483_647
+LEAST_WORDS = 10
 
 
 def line_hash(line: Column) -> Column:
@@ -126,3 +130,88 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ],
         F.when(F.col(parts).isNull(), F.lit(0).cast("long")).otherwise(lines - left).alias(removed),
     )
+
+
+def passage_keys(text: Column, least_words: int = LEAST_WORDS) -> Column:
+    """Array of (start, lines, digest): every pair of neighbouring lines, and every line of ``least_words`` words.
+
+    Pairs of white space alone are left out. Equal SHA-256 digests count as equal bytes.
+    """
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+    def key(at: Column, count: int, body: Column, wanted: Column) -> Column:
+        digest = F.unhex(F.sha2(body, 256))
+        return F.when(wanted, F.struct(at.alias("start"), F.lit(count).alias("lines"), digest.alias("digest")))
+
+    def keys(ls: Column) -> Column:
+        def of_line(at: Column) -> Column:
+            one, two = F.get(ls, at), F.concat(F.get(ls, at), F.lit("\n"), F.get(ls, at + 1))
+            return F.array(
+                key(at, 1, one, one.rlike(rf"^\s*+(?:\S++\s++){{{least_words - 1}}}\S")),
+                key(at, 2, two, two.rlike(r"[^\x20\x09-\x0D]")),
+            )
+
+        return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.size(ls) - 1), of_line)), lambda k: k.isNotNull())
+
+    return F.flatten(F.transform(F.array(lines), keys))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      least_words: int = LEAST_WORDS) -> DataFrame:
+    """Places of every repeated pair or long line: id, doc (MD5 of the text), start, lines, is_first.
+
+    First means the smallest (id, doc, start), null ids first. Rows that repeat id and text are one
+    document here.
+    """
+    text = F.col(text_col)
+    places = docs.select(
+        F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("doc"),
+        F.explode(passage_keys(text, least_words)).alias("k"),
+    ).select("id", "doc", "k.start", "k.lines", "k.digest")
+    place = F.struct("id", "doc", "start")
+    groups = (
+        places.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        .where("first != last").select("digest", "first")
+    )
+    return places.join(groups, "digest").select("id", "doc", "start", "lines", (place == F.col("first")).alias("is_first"))
+
+
+def deduplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed: str = "removed_lines",
+                         least_words: int = LEAST_WORDS) -> DataFrame:
+    """``docs`` with every repeated passage cut from the text, and the number of lines cut.
+
+    A line goes if it lies in a pair that occurred before, or is itself a long line that did. It stays
+    if it belongs to the first place of a repeated pair or long line, so each of these is left once
+    in full. Every row stays, with an empty text if all its lines go; null texts stay null.
+    """
+    names = docs.columns
+    spot_col, id_gone, doc_gone = (fresh(n, [*names, removed]) for n in ("spots", "id_gone", "doc_gone"))
+    # Each line a place covers, once; a line of any first place stays.
+    gone = (
+        repeated_passages(docs, id_col, text_col, least_words)
+        .groupBy(F.col("id").alias(id_gone), F.col("doc").alias(doc_gone))
+        .agg(*[
+            F.array_distinct(F.flatten(F.collect_list(
+                F.when(F.col("is_first") == first, F.sequence("start", F.col("start") + F.col("lines") - 1))
+            ))).alias(name)
+            for name, first in (("_later", False), ("_first", True))
+        ])
+        .select(id_gone, doc_gone, F.array_except("_later", "_first").alias(spot_col))
+        .where(F.size(spot_col) > 0)
+    )
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    same = F.col(id_col).eqNullSafe(F.col(id_gone)) & (F.unhex(F.md5(text)) == F.col(doc_gone))
+    left = F.array_join(F.get(F.transform(
+        F.array(F.split(text, "\n", -1)),
+        lambda ls: F.transform(
+            F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(spot_col)), lambda i: F.get(ls, i)
+        ),
+    ), 0), "\n")
+    cut = F.col(spot_col).isNotNull() & F.col(text_col).isNotNull()
+    return docs.join(gone, same, "left").select(
+        *[
+            F.when(cut, left).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(f"`{c}`")
+            for c in names if c != removed
+        ],
+        F.when(cut, F.size(spot_col)).otherwise(0).cast("long").alias(removed),
+    )

@@ -161,6 +161,15 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select("doc_id", "lines", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+@query("op8_passage_dedup")
+def op8_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """As op8_line_dedup, but with every repeated passage and long line, wherever it starts."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
+    cleaned = line_dedup.deduplicate_passages(docs.withColumn("lines", lines))
+    return cleaned.select("doc_id", "lines", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 @query("op2_token_counts")
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"))

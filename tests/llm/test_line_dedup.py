@@ -80,3 +80,57 @@ def test_clashing_columns_and_empty_table(make_docs, no_docs):
     assert ld.deduplicate(docs).columns == [*docs.columns, "removed_lines"]
     assert ld.deduplicate(docs).count() == 2
     assert ld.deduplicate(no_docs).count() == 0
+
+
+def brute_passages(rows):
+    """Texts and lines removed: all pairs of neighbouring lines and all lines of ten words, by their bytes."""
+    def keys(t):
+        lines = (t or "").split("\n")
+        for i, line in enumerate(lines):
+            if len(line.split()) >= ld.LEAST_WORDS:
+                yield i, 1, line
+            if i + 1 < len(lines) and (pair := f"{line}\n{lines[i + 1]}").strip(" \t\n\x0b\x0c\r"):
+                yield i, 2, pair
+
+    def at(i, t, s):
+        return (i is not None, i or 0), hashlib.md5((t or "").encode()).digest(), s
+
+    seen = {}
+    for i, t in rows:
+        for s, _, body in keys(t):
+            seen.setdefault(body, set()).add(at(i, t, s))
+    out = []
+    for i, t in rows:
+        first, later = set(), set()
+        for s, n, body in keys(t):
+            if len(seen[body]) > 1:
+                (first if min(seen[body]) == at(i, t, s) else later).update(range(s, s + n))
+        gone = later - first
+        kept = [x for k, x in enumerate((t or "").split("\n")) if k not in gone]
+        out.append((i, t if t is None else "\n".join(kept), len(gone) if t is not None else 0))
+    return sorted(out, key=str)
+
+
+def run_passages(docs):
+    found = ld.deduplicate_passages(docs).collect()
+    return sorted(((r["doc_id"], r["text"], r["removed_lines"]) for r in found), key=str)
+
+
+def test_passages_equal_brute_force(make_docs):
+    rows = shared() + [(100 + k, t) for k, (_, t) in enumerate(ODD)] + ODD + [(200, "a\n\n\n\n\nb"), (201, "a\n\n\n\n\nb")]
+    rows += [(300, "\n".join("aaaabab")), (301, "\n".join("xabay")), (301, "\n".join("baby"))]
+    assert run_passages(make_docs(rows)) == brute_passages(rows)
+
+
+def test_whole_passages_and_long_lines_go(make_docs):
+    """The cut by chunks leaves part of these passages and all single lines."""
+    long = "a single line of more than ten words that two of the texts share"
+    for i, text, gone in run_passages(make_docs([*shared(), (50, f"one\n{long}\ntwo"), (51, f"three\n{long}")])):
+        if i < 30:
+            assert gone == (12 if i else 0) and sum(line in text for line in PASSAGE) == (0 if i else 12)
+        else:
+            assert (gone, long in text) == ((0, True) if i == 50 else (1, False))
+
+
+def test_passages_of_an_empty_table(no_docs):
+    assert ld.deduplicate_passages(no_docs).count() == 0
