@@ -8,12 +8,14 @@ template are a candidate if one of the single-row bands agrees. An occurrence wi
 the template's runs then has a Jaccard likeness of at least 0.22 to its window, and 64 bands miss it
 with a chance of (1 - 0.22) ** 64, about one in ten million; for short templates it is at least 0.75, and
 12 bands miss it as rarely. Candidates are checked by exact containment of the template's runs.
+Templates of under five words have no run; they are looked for as a whole, word by word.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Mapping
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,11 @@ NOTHING = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 #: Wording of public license notices.
 TEMPLATES = {
+    "AGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General"
+        " Public License as published by the Free Software Foundation, either version 3 of the License, or (at your"
+        " option) any later version."
+    ),
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-header": (
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at"
@@ -45,16 +52,57 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
         " the following conditions are met"
     ),
+    "BSD-disclaimer": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED"
+        " WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR"
+        " PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT,"
+        " INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"
+    ),
+    "BSD-source-clause": (
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following"
+        " disclaimer"
+    ),
+    "BSD-binary-clause": (
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the"
+        " following disclaimer in the documentation and/or other materials provided with the distribution"
+    ),
+    "BSD-name-clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
+        " products derived from this software without specific prior written permission"
+    ),
+    "CC-BY-3.0-long": "This work is licensed under a Creative Commons Attribution 3.0 Unported License",
+    "CC-BY-SA-3.0-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License",
     "CC-BY-4.0": "Licensed under CC BY 4.0",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
     "CC-BY-4.0-long": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "CC-BY-SA-4.0-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC0-1.0-waiver": "has waived all copyright and related or neighboring rights to this work",
+    "EPL-2.0-header": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"
+        " which is available at"
+    ),
+    "GPL-2.0-or-later": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General"
+        " Public License as published by the Free Software Foundation; either version 2 of the License, or (at your"
+        " option) any later version."
+    ),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "GPL-3.0-or-later": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General"
         " Public License as published by the Free Software Foundation, either version 3 of the License, or (at your"
         " option) any later version."
     ),
+    "LGPL-2.1-or-later": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General"
+        " Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your"
+        " option) any later version."
+    ),
+    "LGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General"
+        " Public License as published by the Free Software Foundation, either version 3 of the License, or (at your"
+        " option) any later version."
+    ),
     "MIT": "Released under the MIT License",
     "MIT-permission": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
@@ -65,6 +113,23 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 
+#: Notices of under five words.
+SHORT_TEMPLATES = {"all-rights-reserved": "All rights reserved."} | {
+    f"SPDX-{name}": f"SPDX-License-Identifier: {name}"
+    for name in (
+        "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "EPL-2.0",
+        "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only",
+        "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense",
+    )
+}
+
+
+def full_texts() -> dict[str, str]:
+    """Public texts of whole licenses, from the files of the package."""
+    found = [f for f in files("shelfcast.llm").joinpath("licenses").iterdir() if f.name.endswith(".txt")]
+    return {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in found}
+
+
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -113,13 +178,17 @@ class Catalog:
     def __init__(self, templates: Mapping[str, str], bands: int = BANDS):
         self.names = sorted(templates)
         self.a, self.b = permutations(bands)
-        self.runs, self.classes = [], {}
+        self.runs, self.classes, self.whole = [], {}, []
         for t, name in enumerate(self.names):
             words = plain_words(templates[name])
-            if len(words) < SHINGLE:
-                raise ValueError(f"template {name} has under {SHINGLE} words")
+            if not words:
+                raise ValueError(f"template {name} has no words")
             self.runs.append(runs_of(words))
-            hashes = run_hashes(np.array([word_hash(w) for w in words], np.uint64))
+            words = np.array([word_hash(w) for w in words], np.uint64)
+            if len(words) < SHINGLE:
+                self.whole.append((t, words))
+                continue
+            hashes = run_hashes(words)
             size = 1 << (len(hashes) - 1).bit_length()
             self.classes.setdefault(size, []).append((t, self.least(hashes)))
         self.tables = {}
@@ -164,7 +233,7 @@ class Catalog:
 
     def candidates(self, hashes: np.ndarray, crossing: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(template, first run, last run + 1) of windows that share a band with a template."""
-        if not len(hashes):
+        if not len(hashes) or not self.tables:
             return
         if min(self.tables) < BASE:
             yield from self._short(hashes, crossing)
@@ -179,6 +248,15 @@ class Catalog:
             minima = np.minimum(minima[::2], minima[1::2])
             size *= 2
 
+    def whole_places(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(template, first word, last word + 1) of word hashes that agree with a template of under SHINGLE words."""
+        for t, wanted in self.whole:
+            at = np.flatnonzero(words[: max(0, len(words) - len(wanted) + 1)] == wanted[0])
+            for k in range(1, len(wanted)):
+                at = at[words[at + k] == wanted[k]]
+            for low in at.tolist():
+                yield t, low, low + len(wanted)
+
     def _short(self, hashes: np.ndarray, crossing: np.ndarray) -> Iterator[tuple[int, int, int]]:
         step = 1 << 16
         for at in range(0, len(hashes), step):
@@ -208,7 +286,8 @@ def scan_texts(texts: pa.Array, catalog: Catalog, contained: float = CONTAINED)
     kept = np.flatnonzero(full[codes]) if len(codes) else np.zeros(0, np.int64)
     codes, owner = codes[kept], split.owners()[kept]
     first = np.searchsorted(kept, split.first)
-    hashes = run_hashes(table[codes]) if len(codes) else np.zeros(0, np.uint64)
+    placed = table[codes] if len(codes) else np.zeros(0, np.uint64)
+    hashes = run_hashes(placed)
     crossing = owner[: len(hashes)] != owner[SHINGLE - 1 :][: len(hashes)]
     best: list[dict[str, tuple[float, int, int]]] = [{} for _ in range(len(texts))]
     for t, low, high in catalog.candidates(hashes, crossing):
@@ -225,6 +304,11 @@ def scan_texts(texts: pa.Array, catalog: Catalog, contained: float = CONTAINED)
                 old = best[text].get(catalog.names[t])
                 if old is None or (-new[0], new[1]) < (-old[0], old[1]):
                     best[text][catalog.names[t]] = new
+    for t, low, high in catalog.whole_places(placed):
+        text = int(owner[low])
+        if owner[high - 1] == text and tuple(words[c] for c in codes[low:high].tolist()) in catalog.runs[t]:
+            at = low - int(first[text])
+            best[text].setdefault(catalog.names[t], (1.0, at, at + high - low))
     return [[(n, *found[n]) for n in sorted(found)] for found in best]
 
 

@@ -177,13 +177,20 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op10_license_scan")
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    found = license_scan.scan(read(spark, folder, "documents"))
-    return found.select(
+    """Notices of under five words have a column of their own, so "All rights reserved" counts as no license."""
+    templates = license_scan.TEMPLATES | license_scan.full_texts() | license_scan.SHORT_TEMPLATES
+    found = license_scan.scan(read(spark, folder, "documents"), templates)
+    is_short = lambda n: n["license"].isin(*license_scan.SHORT_TEMPLATES)
+    split = found.select(
+        "doc_id", F.filter("notices", lambda n: ~is_short(n)).alias("notices"), F.filter("notices", is_short).alias("short")
+    )
+    return split.select(
         "doc_id",
         F.size("notices").alias("n_licenses"),
         F.array_join(F.transform("notices", lambda n: n["license"]), ",").alias("licenses"),
         F.coalesce(F.array_max(F.transform("notices", lambda n: n["containment"])), F.lit(0.0)).alias("containment"),
         F.array_min(F.transform("notices", lambda n: n["first_word"])).alias("first_word"),
+        F.array_join(F.transform("short", lambda n: n["license"]), ",").alias("short_notices"),
     )
 
 

@@ -81,3 +81,33 @@ def test_run_hashes_are_those_of_the_runs():
     h = np.arange(1, 12, dtype=np.uint64)
     all_, tail = ls.run_hashes(h), ls.run_hashes(h[3:])
     assert (all_[3:] == tail).all() and len(all_) == 7
+
+
+def test_full_texts_are_found_whole_and_cut():
+    full, rnd = ls.full_texts(), random.Random(2)
+    assert len(full) >= 16
+    filler = [f"word{i}" for i in range(300)]
+    texts = []
+    for text in full.values():
+        words = text.split()
+        part = words[len(words) // 12 : len(words) - len(words) // 12]
+        texts += [" ".join([*rnd.choices(filler, k=50), *w, *rnd.choices(filler, k=70)]) for w in (words, part)]
+    found = ls.scan_texts(pa.array(texts), ls.Catalog(ls.TEMPLATES | full | ls.SHORT_TEMPLATES))
+    for name, whole, cut in zip(full, found[::2], found[1::2]):
+        assert {n[0]: n[1] for n in whole}[name] == 1.0
+        assert {n[0]: n[1] for n in cut}[name] >= 0.8
+
+
+def test_notices_of_under_five_words():
+    texts = ["a b (c) 2020 X. All rights reserved.", "all rights", "reserved", "all Rights, reserved all rights reserved", ""]
+    want = [("all-rights-reserved", 1.0, 5, 8)], [], [], [("all-rights-reserved", 1.0, 0, 3)], []
+    assert ls.scan_texts(pa.array(texts), ls.Catalog(ls.SHORT_TEMPLATES)) == list(want)
+    found = ls.scan_texts(pa.array(["// SPDX-License-Identifier: MIT"]), ls.Catalog(ls.TEMPLATES | ls.SHORT_TEMPLATES))
+    assert [[n[0] for n in f] for f in found] == [["SPDX-MIT"]]
+
+
+def test_query_lists_short_notices(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    found = {r["doc_id"]: r["short_notices"] for r in op10_license_scan(spark, FOLDER).collect()}
+    with_it = {i for i, t in docs.items() if "all rights reserved" in " ".join(ls.plain_words(t or ""))}
+    assert with_it and {i for i, n in found.items() if "all-rights-reserved" in n} == with_it
