@@ -233,3 +233,19 @@ def u1(spark, folder):
     from shelfcast.plans.forecasting import history_with_future
 
     return rounded(history_with_future(src.panel(spark, folder), src.future(spark, folder), rows=60))
+
+
+@query(
+    "U1_whole_history_and_future",
+    with_(
+        [src.PANEL, src.FUTURE],
+        f"""SELECT {KEYS}, {r('sales', 'sales')}, onpromotion, is_future FROM (
+        SELECT date, store_nbr, family, sales, onpromotion, false AS is_future FROM panel
+        UNION ALL SELECT date, store_nbr, family, NULL, onpromotion, true FROM future)""",
+    ),
+)
+def u1_whole(spark, folder):
+    """The whole history, as ``forecast`` uses it."""
+    from shelfcast.plans.forecasting import history_with_future
+
+    return rounded(history_with_future(src.panel(spark, folder), src.future(spark, folder)))

@@ -190,3 +190,12 @@ def test_bands_of_unknown_series_are_wide(spark):
     assert {r.level for r in few.collect()} == {"group", "all"}
     plain = bands.residual_quantiles(points, bands.residual_offsets(residuals, keys), keys).where("family = 'NEW'").first()
     assert plain.forecast_lo is None and plain.level is None
+
+
+def test_registered_history_is_whole(spark):
+    import __spark_entry__ as entry
+    from shelfcast.catalog import inputs
+
+    folder = "/root/testdata/sf0.001"
+    found = entry.queries()["U1_whole_history_and_future"](spark, folder)
+    assert found.where("not is_future").count() == inputs.panel(spark, folder).count()
