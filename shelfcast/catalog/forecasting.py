@@ -15,9 +15,6 @@ from shelfcast.plans.forecasting import forecast
 
 SERIES = ["store_nbr", "family"]
 
-#: The search of the library runs TRIALS settings; the registered query is a short one.
-SEARCH_TRIALS = 4
-
 
 @query(
     "F1_chronological_split",
@@ -281,7 +278,7 @@ def f3_rows(spark, folder):
 
 @query("F10_search")
 def f10(spark, folder):
-    return rounded(training.tune(_trained(spark, folder)["matrix"], trials=SEARCH_TRIALS))
+    return rounded(training.tune(_trained(spark, folder)["matrix"]))
 
 
 @query("F11_cross_validation")

@@ -199,3 +199,17 @@ def test_registered_history_is_whole(spark):
     folder = "/root/testdata/sf0.001"
     found = entry.queries()["U1_whole_history_and_future"](spark, folder)
     assert found.where("not is_future").count() == inputs.panel(spark, folder).count()
+
+
+def test_registered_search_runs_all_trials(monkeypatch):
+    from shelfcast.catalog import forecasting
+
+    seen = []
+    monkeypatch.setattr(forecasting, "_trained", lambda spark, folder: {"matrix": "m"})
+    monkeypatch.setattr(forecasting, "rounded", lambda df: df)
+    monkeypatch.setattr(training, "sample_settings", lambda trials, *a: seen.append(trials) or [])
+    monkeypatch.setattr(training, "expanding_folds", lambda *a: [])
+    monkeypatch.setattr(training, "in_parallel", lambda *a: (_ for _ in ()).throw(StopIteration))
+    with pytest.raises(StopIteration):
+        forecasting.f10(None, None)
+    assert seen == [training.TRIALS] == [50]
