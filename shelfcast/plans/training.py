@@ -344,12 +344,16 @@ def model_info(path: str, spark: SparkSession) -> DataFrame:
 
 def train(panel: DataFrame, oil=None, holidays=None, transactions=None, horizon: int = 30, trees: dict | None = None,
           forest: dict | None = None, weights=None, backtest_splits: int = 0, save_to: str | None = None,
-          check_grain: bool = True, cols: PanelColumns = PANEL) -> dict:
+          check_grain: bool = True, cols: PanelColumns = PANEL, backtest_model: str = "boosted") -> dict:
     """Split, fit boosted trees and forest, learn residual quantiles, report on the last slice.
 
     Trees stop on one slice, bands are learnt on the next and all is reported on the last.
-    ``backtest_splits`` adds a rolling backtest of the forest, ``save_to`` a folder with the models.
+    ``backtest_splits`` adds a rolling backtest of the boosted trees, or of the forest with
+    ``backtest_model="forest"``; ``save_to`` a folder with the models.
     """
+    factories = {"boosted": lambda: early_stopped(**(trees or {})), "forest": lambda: random_forest(**(forest or {}))}
+    if backtest_model not in factories:
+        raise ValueError(f"unknown backtest model {backtest_model}")
     if check_grain:
         require_daily_grain(panel, cols)
     features = model_features(panel, oil, holidays, transactions, horizon, cols=cols)
@@ -368,9 +372,7 @@ def train(panel: DataFrame, oil=None, holidays=None, transactions=None, horizon:
     metrics = score(report, ("mae", "rmse", "mape", "wmape", "r2"))
     extra = {}
     if backtest_splits:
-        extra["backtest"] = rolling_backtest(
-            matrix, lambda: random_forest(**(forest or {})), backtest_splits, horizon, cols=cols
-        )
+        extra["backtest"] = rolling_backtest(matrix, factories[backtest_model], backtest_splits, horizon, cols=cols)
     if save_to:
         spark = panel.sparkSession
         extra["saved"] = {

@@ -213,3 +213,13 @@ def test_registered_search_runs_all_trials(monkeypatch):
     with pytest.raises(StopIteration):
         forecasting.f10(None, None)
     assert seen == [training.TRIALS] == [50]
+
+
+def test_job_backtests_the_boosted_trees(panel, monkeypatch):
+    kinds = []
+    monkeypatch.setattr(training, "rolling_backtest", lambda m, factory, *a, **b: kinds.append(type(factory()).__name__))
+    for more in ({}, {"backtest_model": "forest"}):
+        training.train(panel, horizon=14, trees={"maxIter": 2, "maxDepth": 2}, forest=FOREST, backtest_splits=2, **more)
+    assert kinds == ["GBTRegressor", "RandomForestRegressor"]
+    with pytest.raises(ValueError):
+        training.train(panel, backtest_model="mean")
