@@ -202,8 +202,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                   toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> DataFrame:
     """Texts of a bounded, seeded sample of the labelled rows outside the held-out fifth: text, toxic.
 
-    Of the labels that repeat an id the largest counts. The sample of ids is bounded by the two
-    parameters, which is why its broadcast is.
+    Of the labels that repeat an id the largest counts, of the documents that do the text with the
+    smallest hash. The sample is bounded by the two parameters, which is why the broadcast of its ids is.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("label_id")).agg(F.max("toxic").alias("toxic"))
@@ -214,7 +214,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     ]
     chosen = durable(parts[0].union(parts[1]).select("label_id", "toxic"))
     rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text"))
-    return rows.join(F.broadcast(chosen), "label_id").select("text", "toxic")
+    found = rows.join(F.broadcast(chosen), "label_id").groupBy("label_id", "toxic")
+    return found.agg(F.min_by("text", F.sha2("text", 256)).alias("text")).select("text", "toxic")
 
 
 def _count_features(wanted: set[str] | None):

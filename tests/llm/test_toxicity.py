@@ -79,3 +79,12 @@ def test_without_labels_or_rows(spark, odd_docs, no_docs):
     assert toxicity.score(odd_docs, none).count() == len(ODD)
     assert toxicity.keep_clean(odd_docs, none).count() == len(ODD)
     assert toxicity.score(no_docs, none).count() == 0
+
+
+def test_repeated_ids_give_one_training_row(spark, make_docs):
+    docs = make_docs([*[(1, f"copy {i % 3}") for i in range(50)], (1, None), (2, "other"), (3, None)])
+    marks = labels(spark, [(1, 1, 1), (2, 1, 0), (3, 1, 0)])
+    ids = [i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 5]
+    found = toxicity.training_rows(docs, marks).collect()
+    assert len(found) == len(ids)
+    assert 1 in ids and [r["text"] in {"copy 0", "copy 1", "copy 2"} for r in found if r["toxic"] == 1] == [True]
