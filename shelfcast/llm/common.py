@@ -15,5 +15,10 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column name for ``col``, dots and back-quotes included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")

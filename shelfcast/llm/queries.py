@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.llm import (
-    exact_dedup, license_scan, line_dedup, minhash, mixing, packing, simhash, token_counts, toxicity, url_filter,
+    clustering, decontamination, divergence, exact_dedup, license_scan, line_dedup, minhash, mixing, packing, simhash, token_counts,
+    toxicity, url_filter,
 )
 from shelfcast.llm.common import read
 from shelfcast.llm.register import query
@@ -197,3 +198,130 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_minhash_fingerprints")
 def op5_minhash_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.with_next(read(spark, folder, "documents"))
+
+
+_LOWER = f"'{url_filter.UPPER}', '{url_filter.LOWER}'"
+_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+@query(
+    "op11_decontamination",
+    f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), {_WORDS}) AS ws FROM documents),
+b AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), {_WORDS}) AS ws FROM benchmark),
+g AS (
+  SELECT DISTINCT item, least(len(ws), {decontamination.WINDOW}) AS n, unnest(list_transform(
+           range(1, greatest(len(ws) - {decontamination.WINDOW} + 2, 2)),
+           lambda i: array_to_string(ws[i:i + {decontamination.WINDOW} - 1], ' '))) AS w
+  FROM b WHERE len(ws) > 0),
+o AS (
+  SELECT r, n, i, array_to_string(ws[i:i + n - 1], ' ') AS w
+  FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM g) WHERE len(ws) >= n)),
+m AS (SELECT r, o.n, i, item FROM o JOIN g ON o.w = g.w AND o.n = g.n),
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM m) GROUP BY r),
+items AS (
+  SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
+""",
+)
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.scan(docs, read(spark, folder, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+_TERMS = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
+
+
+def _level_sql(times: str, mass: str) -> str:
+    return f"1 + ({divergence.UNIT}::HUGEINT * ({times} + 2)) // ({mass} + 2 * v)"
+
+
+@query(
+    "op12_divergence_audit",
+    f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), {_TERMS}) AS ws FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+u AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+kept AS (
+  SELECT lang, term, count(*) AS total FROM u GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.LEAST_DOCS}),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS mass FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS times FROM u JOIN kept USING (lang, term) GROUP BY ALL),
+n AS (SELECT lang, source, sum(times) AS mass FROM c GROUP BY ALL),
+p AS (
+  SELECT lang, source, term, coalesce(times, 0) AS times, {_level_sql('coalesce(times, 0)', 'coalesce(n.mass, 0)')} AS p
+  FROM g JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN n USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+pairs AS (
+  SELECT g.lang, g.source, o.source AS item, coalesce(value, 0) AS value
+  FROM g JOIN g AS o ON g.lang = o.lang AND g.source <> o.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS other, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+             FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL) AS s
+    ON s.lang = g.lang AND s.source = g.source AND s.other = o.source),
+terms AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value
+  FROM p JOIN (SELECT lang, term, {_level_sql('total', 'mass')} AS q FROM kept JOIN langs USING (lang)) USING (lang, term)
+  WHERE times > 0 AND p > q),
+parts AS (
+  SELECT *, 'pair' AS part FROM pairs UNION ALL SELECT *, 'term' FROM terms)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}
+""",
+)
+def op12_divergence_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(read(spark, folder, "documents"))
+
+
+def _rounds_sql() -> str:
+    steps = []
+    for k in range(clustering.ROUNDS + 1):
+        steps.append(f"""
+a{k} AS (
+  SELECT r, min(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * {clustering.CENTROIDS} + no) AS best
+  FROM x, k{k} GROUP BY r)""")
+        if k < clustering.ROUNDS:
+            steps.append(f"""
+m{k} AS (
+  SELECT no, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c
+  FROM (SELECT no, i, sum(y) AS s, count(*) AS n
+        FROM (SELECT (best % {clustering.CENTROIDS})::INTEGER AS no, unnest(v) AS y, unnest(range(1, len(v) + 1)) AS i
+              FROM x JOIN a{k} USING (r)) GROUP BY no, i) GROUP BY no),
+k{k + 1} AS (SELECT k.no, coalesce(m.c, k.c) AS c FROM k{k} AS k LEFT JOIN m{k} AS m USING (no))""")
+    return ",".join(steps)
+
+
+@query(
+    "op13_centroid_clustering",
+    f"""
+WITH x AS (
+  SELECT row_number() OVER () AS r, vec_id,
+         list_transform(embedding, lambda e: floor({clustering.SCALE} * e::DOUBLE)::HUGEINT) AS v
+  FROM embeddings WHERE len(embedding) = {clustering.DIMENSIONS}
+    AND len(list_filter(embedding, lambda e: isfinite(e) AND abs(floor({clustering.SCALE} * e::DOUBLE)) <= {clustering.MOST}))
+        = {clustering.DIMENSIONS}),
+k0 AS (
+  SELECT (row_number() OVER (ORDER BY h, v) - 1)::INTEGER AS no, v AS c
+  FROM (SELECT sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM x ORDER BY h, v LIMIT {clustering.CENTROIDS})),
+{_rounds_sql().strip()},
+f AS (
+  SELECT vec_id, (best % {clustering.CENTROIDS})::INTEGER AS cluster, (best // {clustering.CENTROIDS})::BIGINT AS distance
+  FROM x JOIN a{clustering.ROUNDS} USING (r))
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM f JOIN k{clustering.ROUNDS} ON cluster = no
+""",
+)
+def op13_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.cluster(read(spark, folder, "embeddings"))

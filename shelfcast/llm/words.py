@@ -6,7 +6,7 @@ carriage return. Everything here works on the rows of one Arrow batch inside a t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +20,13 @@ _IS_SPACE[list(SPACES)] = True
 SLICE_BYTES = 4 << 20
 
 
+def bytes_outside(inside: Iterable[int]) -> np.ndarray:
+    """Table of the bytes between words, where words hold the bytes ``inside`` and every byte beyond ASCII."""
+    table = np.ones(256, dtype=bool)
+    table[[*inside, *range(128, 256)]] = False
+    return table
+
+
 @dataclass
 class Words:
     """Words of several texts, in order. Text i has the words first[i] to first[i + 1]."""
@@ -61,9 +68,9 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         start = stop
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last-plus-one byte of every word; a word never spans two texts."""
-    inside = ~_IS_SPACE[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """First and last-plus-one byte of every word; a word never spans two texts. ``outside`` marks bytes between words."""
+    inside = ~outside[data]
     before = np.empty_like(inside)
     before[:1] = False
     before[1:] = inside[:-1]
@@ -78,13 +85,13 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(inside & ~after) + 1
 
 
-def split_words(texts: pa.Array) -> Words:
+def split_words(texts: pa.Array, outside: np.ndarray = _IS_SPACE) -> Words:
     """Words of each text as one Arrow array without copies of single words."""
     data, offsets = as_binary(texts)
-    starts, ends = word_bounds(data, offsets)
+    starts, ends = word_bounds(data, offsets, outside)
     bounds = np.zeros(len(starts) + 1, dtype=np.int64)
     np.cumsum(ends - starts, out=bounds[1:])
-    packed = data[~_IS_SPACE[data]]
+    packed = data[~outside[data]]
     words = pa.Array.from_buffers(
         pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(packed))]
     )
