@@ -94,7 +94,9 @@ class Base:
         squared = np.stack([squared_distances(vectors, p) for p in self.pivots], axis=1).astype(float)
         sides = (self.corners**2).sum(axis=1)
         right = (squared[:, :1] + sides - squared[:, 1:]) / 2
-        foot = np.linalg.solve(self.corners, right.T).T if len(self.corners) else right
+        foot = np.zeros_like(right)
+        for k, corner in enumerate(self.corners):
+            foot[:, k] = (right[:, k] - (foot[:, :k] * corner[:k]).sum(axis=1)) / corner[k]
         altitude = np.sqrt(np.maximum(squared[:, 0] - (foot**2).sum(axis=1), 0))
         return np.concatenate([foot, altitude[:, None]], axis=1)
 
