@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import math
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -23,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.words import distinct, slices, split_words, take_runs
+from shelfcast.llm.words import as_binary, slices, split_words, take_runs
 from shelfcast.plans.durable import durable
 
 SEQUENCE = 4096
@@ -32,7 +31,6 @@ NEARLY_FULL = 4
 BINS_PER_TASK = 50_000
 FAN_IN = 8
 PIECES_AT_ONCE = 200_000
-CACHE_WORDS = 200_000
 
 PIECES = (
     "doc_id {id}, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"
@@ -40,16 +38,19 @@ PIECES = (
 
 
 class WordIds:
-    """Ids of single words, from the tokenizer file at ``path``.
-
-    No token of this kind of tokenizer spans white space, so the ids of a text are those of its
-    words in a row. Words of plain ASCII and Latin-1 letters skip the general normaliser: their
-    lower case and their pre-tokens are found here, all merges and ids come from the library.
-    Every other word goes through the whole tokenizer.
+    """Ids of words, from the tokenizer file at ``path``.
+
+    No token of this kind of tokenizer spans white space, so the ids of a text are those of its words in
+    a row. Words of plain ASCII and Latin-1 letters skip the general normaliser: they are lower-cased and
+    cut here into runs of letters, single digits and runs of other signs, as its pre-tokens are, and the
+    distinct ones go through the library's merges in one call, one text with spaces between them. Every
+    other word, and every one with an apostrophe or the start of a special token, goes through the whole
+    tokenizer. Nothing is remembered from one slice of texts to the next.
     """
 
-    LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
-    PRE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    LETTER, DIGIT, SIGN = 1, 2, 3
+    #: Signs that may end a plain word's pre-token elsewhere, or start a special token together with the next one.
+    APOSTROPHE, SPECIAL = ord("'"), b"<|"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -57,53 +58,87 @@ class WordIds:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.whole = Tokenizer.from_str(json.dumps(spec))
-        self.special = tuple(t["content"] for t in spec["added_tokens"])
-        letters = [chr(c) for c in [*range(33, 127), *range(0xC0, 0x100)]]
-        self.bytes_as = str.maketrans(
-            {c: self.whole.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
-        )
-        self.parts = Tokenizer.from_str(
-            json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []})
-        )
-        self.known: dict[bytes, bytes] = {}
-
-    def _plain(self, word: str) -> bool:
-        return self.LATIN.fullmatch(word) is not None and not any(s in word for s in self.special)
-
-    def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        odd = [k for k, t in enumerate(texts) if not self._plain(t)]
-        for k, e in zip(odd, self.whole.encode_batch_fast([texts[k] for k in odd], add_special_tokens=False)):
-            self.known[words[k]] = np.array(e.ids, dtype="<u4").tobytes()
-        out = set(odd)
-        split = {k: self.PRE.findall(t.lower()) for k, t in enumerate(texts) if k not in out}
-        parts = list({p for pieces in split.values() for p in pieces})
-        coded = self.parts.encode_batch_fast([p.translate(self.bytes_as) for p in parts], add_special_tokens=False)
-        ids = {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(parts, coded)}
-        for k, pieces in split.items():
-            self.known[words[k]] = b"".join([ids[p] for p in pieces])
+        if not all(t["content"].encode().startswith(self.SPECIAL) for t in spec["added_tokens"]):
+            raise ValueError(f"special tokens of {path} do not start with {self.SPECIAL!r}")
+        pieces = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}]
+        plain = {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": pieces}}
+        self.parts = Tokenizer.from_str(json.dumps(spec | plain))
+        vocabulary, mark = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.is_end[[n for token, n in vocabulary.items() if token.endswith(mark)]] = True
+        self.kinds = np.zeros(256, np.uint8)
+        self.kinds[33:127] = self.SIGN
+        self.kinds[48:58] = self.DIGIT
+        self.kinds[[*range(65, 91), *range(97, 123)]] = self.LETTER
+
+    def _cut(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of the words with plain ones in lower case, first byte of each part, and is it an odd word's?
+
+        An odd word is one part.
+        """
+        kind = self.kinds[data]
+        low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+        # Latin-1 letters are C3 and a second byte; 97 and B7 are the signs of multiplication and division.
+        at = np.flatnonzero(data == 0xC3)
+        second = data[at + 1]
+        at, second = at[(second != 0x97) & (second != 0xB7)], second[(second != 0x97) & (second != 0xB7)]
+        kind[at] = kind[at + 1] = self.LETTER
+        low[at + 1] = np.where(second <= 0x9E, second + 32, second)
+        odd = (kind == 0) | (data == self.APOSTROPHE)
+        odd[:-1] |= (data[:-1] == self.SPECIAL[0]) & (data[1:] == self.SPECIAL[1])
+        odd = np.repeat(np.logical_or.reduceat(odd, first), np.diff(first, append=len(data)))
+        head = np.empty(len(data), bool)
+        head[0] = True
+        head[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == self.DIGIT)
+        head &= ~odd
+        head[first] = True
+        return np.where(odd, data, low), np.flatnonzero(head), odd[head]
+
+    def _plain(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct parts in a row, and the number of ids of each."""
+        data, offsets = as_binary(parts)
+        spaced = np.full(len(data) + len(parts), ord(" "), np.uint8)
+        spaced[np.arange(len(data)) + np.repeat(np.arange(len(parts)), np.diff(offsets))] = data
+        found = self.parts.encode_batch_fast([spaced.tobytes().decode()], add_special_tokens=False)[0].ids
+        ids = np.array(found, dtype="<u4")
+        return ids, np.diff(np.flatnonzero(self.is_end[ids]), prepend=-1)
+
+    def _odd(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = [w.decode() for w in words.to_pylist()]
+        found = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], dtype="<u4"), np.array([len(ids) for ids in found], np.int64)
 
     def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each word."""
-        codes, entries = distinct(words)
-        known = self.known
-        new = [w for w in entries if w not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = entries
-        self._learn(new)
-        found = [known[w] for w in entries]
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        starts = np.cumsum(lengths) - lengths
-        flat = np.frombuffer(b"".join(found), dtype="<u4")
-        return flat[take_runs(starts[codes], lengths[codes])], lengths[codes]
+        if len(words) == 0:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        data, offsets = as_binary(words)
+        data, heads, odd = self._cut(data, offsets[:-1])
+        bounds = np.append(heads, len(data)).astype(np.int64)
+        parts = pa.Array.from_buffers(pa.large_binary(), len(heads), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+        coded = parts.dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        odd_entry = np.zeros(len(coded.dictionary), bool)
+        odd_entry[codes[odd]] = True
+        counts = np.zeros(len(odd_entry), np.int64)
+        flat = []
+        for chosen, find in ((~odd_entry, self._plain), (odd_entry, self._odd)):
+            if chosen.any():
+                ids, counts[chosen] = find(coded.dictionary.filter(pa.array(chosen)))
+                flat.append(ids)
+        # Plain entries come first in the row of ids, then odd ones, each in their own order.
+        order = np.argsort(odd_entry, kind="stable")
+        starts = np.empty(len(counts), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        all_ids = np.concatenate(flat)[take_runs(starts[codes], counts[codes])]
+        return all_ids, np.add.reduceat(counts[codes], np.searchsorted(heads, offsets[:-1]))
 
 
 _LOADED: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
-    """One per Python worker; tasks of the same worker share what it has seen."""
+    """One per Python worker."""
     if path not in _LOADED:
         import os
 
