@@ -1,11 +1,13 @@
-"""Repeated passages of several lines, found as content-defined chunks of lines.
+"""Passages of lines that occur again, found as content-defined chunks of two lines.
 
-A rolling hash over the hashes of the last lines decides where a chunk ends. The cut depends on
-those lines alone, so an inserted line shifts nothing beyond the next cuts. Chunks of two or more
-lines that occur again anywhere in the table are removed, except at their first place.
+A rolling hash runs over the hashes of neighbouring lines; where it is a multiple of ``mean``, a chunk
+of these two lines begins. A chunk depends on its own lines alone, so inserted lines shift nothing
+beyond themselves, and chunks overlap, so a repeated passage is the union of its repeated chunks. At
+``mean`` 1 every line begins a chunk and nothing of a passage is lost; larger values sample. A line of
+at least ``least_words`` words is a chunk of its own as well.
 
-``deduplicate_passages`` has no cuts: it compares every pair of neighbouring lines and every long
-line, so a repeated passage is found whole wherever it starts.
+Hashes are computed once, and counted without texts. Lines are fetched only for chunks whose hash
+occurs twice, and grouped by hash and bytes, so chunks that only share a hash stay apart.
 """
 
 from __future__ import annotations
@@ -13,205 +15,121 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import fresh
+from shelfcast.llm.common import fresh, quoted
 
-WINDOW = 2
-MEAN_LINES = 2
-BASE = 1_000_003
-PRIME = 2_147_483_647
+MEAN_LINES = 1
 LEAST_WORDS = 10
 
 
-def line_hash(line: Column) -> Column:
-    """First 32 bits of the MD5 of a line."""
-    return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
+def split_lines(text: Column) -> Column:
+    """Lines of a text; null counts as empty, an empty text is one empty line."""
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def chunk_array(text: Column, window: int = WINDOW, mean: int = MEAN_LINES) -> Column:
-    """Array of (start, lines, body) of a text: start counts lines from 0, body joins lines by line feeds.
-
-    Null counts as empty; an empty text is one chunk of one empty line.
-    """
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    hashes = F.transform(lines, line_hash)
-    last = F.size(lines) - 1
-
-    def rolled(hashes: Column, at: Column) -> Column:
-        value = F.lit(0).cast("long")
-        for back in range(window - 1, -1, -1):
-            value = (value * BASE + F.get(hashes, at - back) % PRIME) % PRIME
-        return value
-
-    def ends(hashes: Column) -> Column:
-        inner = F.sequence(F.lit(0), last)
-        return F.filter(inner, lambda i: (i == last) | ((i >= window - 1) & (rolled(hashes, i) % mean == 0)))
-
-    # The inner arrays are computed once per row: each becomes the element of a one-row array.
-    def chunks(ends: Column) -> Column:
-        return F.transform(
-            ends,
-            lambda end, k: F.struct(
-                (F.coalesce(F.get(ends, k - 1), F.lit(-1)) + 1).alias("start"),
-                (end - F.coalesce(F.get(ends, k - 1), F.lit(-1))).alias("lines"),
-            ),
-        )
-
-    spans = F.flatten(F.transform(F.array(hashes), lambda h: F.flatten(F.transform(F.array(ends(h)), chunks))))
-    return F.flatten(
-        F.transform(
-            F.array(lines),
-            lambda ls: F.transform(
-                spans,
-                lambda s: F.struct(
-                    s["start"].alias("start"),
-                    s["lines"].alias("lines"),
-                    F.array_join(F.slice(ls, s["start"] + 1, s["lines"]), "\n").alias("body"),
-                ),
-            ),
-        )
-    )
-
-
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Places to remove: id, doc (MD5 of the text), start, lines, hash of every multi-line chunk seen before.
-
-    Chunks are grouped by hash and bytes, so chunks that only share the hash stay apart; chunks of
-    white space alone don't count. First means the smallest (id, doc, start), null ids first. Rows
-    that repeat id and text are one document here.
-    """
-    text = F.col(text_col)
-    chunks = docs.select(
-        F.col(id_col).alias("id"), F.md5(F.coalesce(text, F.lit(""))).alias("doc"),
-        F.explode(chunk_array(text, **options)).alias("c"),
-    )
-    many = chunks.where("c.lines > 1").select("id", "doc", "c.start", "c.lines", "c.body")
-    many = many.where(F.col("body").rlike(r"[^\x20\x09-\x0D]"))
-    groups = (
-        many.groupBy(F.md5("body").alias("hash"), "body")
-        .agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "doc", "start")).alias("first"))
-        .where("times > 1")
-        .select("hash", F.sha2("body", 256).alias("digest"), "first")
-    )
-    places = many.select("id", "doc", "start", "lines", F.md5("body").alias("hash"), F.sha2("body", 256).alias("digest"))
-    return (
-        places.join(groups, ["hash", "digest"])
-        .where(F.struct("id", "doc", "start") != F.col("first"))
-        .select("id", "doc", "start", "lines", "hash")
-    )
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed: str = "removed_lines",
-                **options) -> DataFrame:
-    """``docs`` with the repeated chunks cut from the text, and the number of lines cut.
-
-    Every row stays, with an empty text if all its lines are repeats; null texts stay null. An empty
-    table gives no rows.
-    """
-    spots = repeated(docs, id_col, text_col, **options)
-    names = docs.columns
-    spot_col, id_gone, doc_gone, parts = (fresh(n, [*names, removed]) for n in ("spots", "id_gone", "doc_gone", "parts"))
-    gone = spots.groupBy(F.col("id").alias(id_gone), F.col("doc").alias(doc_gone)).agg(
-        F.collect_set(F.struct("start", "hash")).alias(spot_col)
-    )
-    same = F.col(id_col).eqNullSafe(F.col(id_gone)) & (F.md5(F.coalesce(F.col(text_col), F.lit(""))) == F.col(doc_gone))
-    joined = docs.join(gone, same, "left")
-    kept = F.filter(
-        chunk_array(F.col(text_col), **options),
-        lambda c: ~F.array_contains(F.col(spot_col), F.struct(c["start"].alias("start"), F.md5(c["body"]).alias("hash"))),
-    )
-    split = joined.withColumn(parts, F.when(F.col(spot_col).isNotNull() & F.col(text_col).isNotNull(), kept))
-    lines = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).cast("long")
-    left = F.aggregate(F.col(parts), F.lit(0).cast("long"), lambda a, c: a + c["lines"])
-    text = F.array_join(F.transform(F.col(parts), lambda c: c["body"]), "\n")
-    return split.select(
-        *[
-            F.when(F.col(parts).isNull(), F.col(text_col)).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`")
-            for c in names if c != removed
-        ],
-        F.when(F.col(parts).isNull(), F.lit(0).cast("long")).otherwise(lines - left).alias(removed),
+def chunk_keys(text: Column, mean: int = MEAN_LINES, least_words: int = LEAST_WORDS) -> Column:
+    """Array of (start, lines, hash): start counts lines from 0; chunks of white space alone are left out."""
+    long = rf"^\s*+(?:\S++\s++){{{least_words - 1}}}\S"
+    marks = F.transform(
+        split_lines(text),
+        lambda line: F.struct(F.xxhash64(line).alias("h"), line.rlike(long).alias("long"), line.rlike(r"[^\x20\x09-\x0D]").alias("ink")),
     )
 
+    def keys(marks: Column) -> Column:
+        def at(mark: Column, i: Column) -> Column:
+            after = F.get(marks, i + 1)
+            rolled = F.xxhash64(mark["h"], after["h"])
+            pair = after.isNotNull() & (mark["ink"] | after["ink"])
+            if mean > 1:
+                pair = pair & (F.pmod(rolled, F.lit(mean)) == 0)
+            one = F.struct(i.alias("start"), F.lit(1).alias("lines"), mark["h"].alias("hash"))
+            return F.array(F.when(mark["long"], one), F.when(pair, F.struct(i.alias("start"), F.lit(2).alias("lines"), rolled.alias("hash"))))
 
-def passage_keys(text: Column, least_words: int = LEAST_WORDS) -> Column:
-    """Array of (start, lines, digest): every pair of neighbouring lines, and every line of ``least_words`` words.
+        return F.filter(F.flatten(F.transform(marks, at)), lambda k: k.isNotNull())
 
-    Pairs of white space alone are left out. Equal SHA-256 digests count as equal bytes.
-    """
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    # The marks are computed once per row: they become the element of a one-row array.
+    return F.flatten(F.transform(F.array(marks), keys))
 
-    def key(at: Column, count: int, body: Column, wanted: Column) -> Column:
-        digest = F.unhex(F.sha2(body, 256))
-        return F.when(wanted, F.struct(at.alias("start"), F.lit(count).alias("lines"), digest.alias("digest")))
 
-    def keys(ls: Column) -> Column:
-        def of_line(at: Column) -> Column:
-            one, two = F.get(ls, at), F.concat(F.get(ls, at), F.lit("\n"), F.get(ls, at + 1))
-            return F.array(
-                key(at, 1, one, one.rlike(rf"^\s*+(?:\S++\s++){{{least_words - 1}}}\S")),
-                key(at, 2, two, two.rlike(r"[^\x20\x09-\x0D]")),
-            )
+def _bodies(base: DataFrame, spots: DataFrame, same: Column, text: Column) -> DataFrame:
+    """The lines of the chunks in ``spots``: id, doc, start, hash, body."""
+    bodies = F.flatten(F.transform(
+        F.array(split_lines(text)),
+        lambda ls: F.transform(F.col("spots"), lambda s: F.struct(
+            s["start"].alias("start"), s["lines"].alias("lines"), s["hash"].alias("hash"),
+            F.array_join(F.slice(ls, s["start"] + 1, s["lines"]), "\n").alias("body"),
+        )),
+    ))
+    chunks = base.join(spots, same).select("id", "doc", F.explode(bodies).alias("c"))
+    return chunks.select("id", "doc", "c.start", "c.lines", "c.hash", "c.body")
 
-        return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.size(ls) - 1), of_line)), lambda k: k.isNotNull())
 
-    return F.flatten(F.transform(F.array(lines), keys))
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column, Column, str]:
+    """``docs`` with the MD5 of the text, the join condition to (id, doc), the text and the new column's name."""
+    digest = fresh("text_md5", [*docs.columns, "id", "doc", "spots"])
+    text = F.col(quoted(text_col))
+    base = docs.withColumn(digest, F.unhex(F.md5(F.coalesce(text, F.lit("")))))
+    return base, F.col(quoted(id_col)).eqNullSafe(F.col("id")) & (F.col(digest) == F.col("doc")), text, digest
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      least_words: int = LEAST_WORDS) -> DataFrame:
-    """Places of every repeated pair or long line: id, doc (MD5 of the text), start, lines, is_first.
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = MEAN_LINES,
+             least_words: int = LEAST_WORDS) -> DataFrame:
+    """Places of every chunk that occurs twice: id, doc (MD5 of the text), start, lines, is_first.
 
     First means the smallest (id, doc, start), null ids first. Rows that repeat id and text are one
     document here.
     """
-    text = F.col(text_col)
-    places = docs.select(
-        F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("doc"),
-        F.explode(passage_keys(text, least_words)).alias("k"),
-    ).select("id", "doc", "k.start", "k.lines", "k.digest")
+    rows = docs.select(F.col(quoted(id_col)).alias("row_id"), F.col(quoted(text_col)).alias("row_text"))
+    base, same, text, digest = _texts(rows, "row_id", "row_text")
     place = F.struct("id", "doc", "start")
-    groups = (
-        places.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .where("first != last").select("digest", "first")
-    )
-    return places.join(groups, "digest").select("id", "doc", "start", "lines", (place == F.col("first")).alias("is_first"))
+    keys = base.select(F.col("row_id").alias("id"), F.col(digest).alias("doc"), F.explode(chunk_keys(text, mean, least_words)).alias("k"))
+    keys = keys.select("id", "doc", "k.start", "k.lines", "k.hash")
+
+    def twice(found: DataFrame, *by) -> DataFrame:
+        return found.groupBy(*by).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
+
+    again = keys.join(twice(keys, "lines", "hash").drop("first"), ["lines", "hash"], "left_semi")
+    spots = again.groupBy("id", "doc").agg(F.collect_set(F.struct("start", "lines", "hash")).alias("spots"))
+    bodies = _bodies(base, spots, same, text)
+    equal = twice(bodies, "hash", "body").select("hash", F.unhex(F.sha2("body", 256)).alias("digest"), "first")
+    found = bodies.withColumn("digest", F.unhex(F.sha2("body", 256))).drop("body").join(equal, ["hash", "digest"])
+    return found.select("id", "doc", "start", "lines", (place == F.col("first")).alias("is_first"))
 
 
-def deduplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed: str = "removed_lines",
-                         least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with every repeated passage cut from the text, and the number of lines cut.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed: str = "removed_lines", total: str | None = None,
+                mean: int = MEAN_LINES, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``docs`` without the lines of repeated chunks, the number of lines cut, and that of all lines as ``total``.
 
-    A line goes if it lies in a pair that occurred before, or is itself a long line that did. It stays
-    if it belongs to the first place of a repeated pair or long line, so each of these is left once
-    in full. Every row stays, with an empty text if all its lines go; null texts stay null.
+    A line goes if it lies in a chunk that occurred before. It stays if it belongs to the first place
+    of a repeated chunk, so each is left once in full. Every row stays, with an empty text if all its
+    lines go; null texts stay null. An empty table gives no rows. The new columns replace those of
+    ``docs`` with the same names, in whatever case.
     """
-    names = docs.columns
-    spot_col, id_gone, doc_gone = (fresh(n, [*names, removed]) for n in ("spots", "id_gone", "doc_gone"))
-    # Each line a place covers, once; a line of any first place stays.
-    gone = (
-        repeated_passages(docs, id_col, text_col, least_words)
-        .groupBy(F.col("id").alias(id_gone), F.col("doc").alias(doc_gone))
+    counts = [removed, *([total] if total else [])]
+    names = [c for c in docs.columns if c.lower() not in {n.lower() for n in counts}]
+    kept = docs.select(*[F.col(quoted(c)) for c in names])
+    hidden = {n: fresh(n, names) for n in ("id", "doc", "cut")}
+    base, _, text, digest = _texts(kept, id_col, text_col)
+    lines = F.sequence("start", F.col("start") + F.col("lines") - 1)
+    cut = (
+        repeated(docs, id_col, text_col, mean, least_words)
+        .groupBy(F.col("id").alias(hidden["id"]), F.col("doc").alias(hidden["doc"]))
         .agg(*[
-            F.array_distinct(F.flatten(F.collect_list(
-                F.when(F.col("is_first") == first, F.sequence("start", F.col("start") + F.col("lines") - 1))
-            ))).alias(name)
-            for name, first in (("_later", False), ("_first", True))
+            F.array_distinct(F.flatten(F.collect_set(F.when(F.col("is_first") == first, lines)))).alias(name)
+            for name, first in (("later_lines", False), ("first_lines", True))
         ])
-        .select(id_gone, doc_gone, F.array_except("_later", "_first").alias(spot_col))
-        .where(F.size(spot_col) > 0)
+        .select(hidden["id"], hidden["doc"], F.array_except("later_lines", "first_lines").alias(hidden["cut"]))
+        .where(F.size(hidden["cut"]) > 0)
     )
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    same = F.col(id_col).eqNullSafe(F.col(id_gone)) & (F.unhex(F.md5(text)) == F.col(doc_gone))
-    left = F.array_join(F.get(F.transform(
-        F.array(F.split(text, "\n", -1)),
-        lambda ls: F.transform(
-            F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(spot_col)), lambda i: F.get(ls, i)
-        ),
-    ), 0), "\n")
-    cut = F.col(spot_col).isNotNull() & F.col(text_col).isNotNull()
-    return docs.join(gone, same, "left").select(
-        *[
-            F.when(cut, left).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(f"`{c}`")
-            for c in names if c != removed
-        ],
-        F.when(cut, F.size(spot_col)).otherwise(0).cast("long").alias(removed),
+    spots = F.col(hidden["cut"])
+    same = F.col(quoted(id_col)).eqNullSafe(F.col(hidden["id"])) & (F.col(digest) == F.col(hidden["doc"]))
+    left = F.array_join(F.flatten(F.transform(
+        F.array(split_lines(text)),
+        lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), spots), lambda i: F.get(ls, i)),
+    )), "\n")
+    gone = spots.isNotNull() & text.isNotNull()
+    figures = [F.when(gone, F.size(spots)).otherwise(0).cast("long").alias(removed)]
+    if total:
+        figures.append(F.size(split_lines(text)).cast("long").alias(total))
+    return base.join(cut, same, "left").select(
+        *[F.when(gone, left).otherwise(text).alias(c) if c == text_col else F.col(quoted(c)) for c in names], *figures
     )

@@ -138,36 +138,29 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     "op8_line_dedup",
     f"""
 WITH l AS (
-  SELECT doc_id, md5(coalesce(text, '')) AS doc, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-h AS (
-  SELECT *, list_transform(ls, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT % {line_dedup.PRIME}) AS hs FROM l),
-e AS (
-  SELECT *, list_filter(range(1, len(ls) + 1), lambda i: i = len(ls) OR
-    (i >= 2 AND ((hs[i - 1] * {line_dedup.BASE} + hs[i]) % {line_dedup.PRIME}) % {line_dedup.MEAN_LINES} = 0)) AS ends FROM h),
+  SELECT doc_id, md5(coalesce(text, '')) AS doc, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 c AS (
-  SELECT doc_id, doc, ls, unnest(ends) AS stop, unnest(list_concat([0], ends[:-2])) AS start FROM e),
-b AS (SELECT doc_id, doc, start, stop - start AS n, array_to_string(ls[start + 1:stop], chr(10)) AS body FROM c),
-m AS (
-  SELECT *, n > 1 AND regexp_replace(body, '[\x20\x09-\x0D]+', '', 'g') <> '' AND
-    row_number() OVER (PARTITION BY body, n > 1 ORDER BY doc_id, doc, start) > 1 AS gone FROM b)
-SELECT doc_id, sum(n)::BIGINT AS lines, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS removed_lines,
-       sha256(coalesce(string_agg(body, chr(10) ORDER BY start) FILTER (NOT gone), '')) AS text_sha256
-FROM m GROUP BY doc_id
+  SELECT DISTINCT doc_id, doc, i, n, array_to_string(ls[i:i + n - 1], chr(10)) AS body
+  FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM l), (SELECT unnest([1, 2]) AS n)
+  WHERE i + n <= len(ls) + 1 AND CASE n
+    WHEN 1 THEN regexp_matches(ls[i], '^\\s*(?:\\S+\\s+){{{line_dedup.LEAST_WORDS - 1}}}\\S')
+    ELSE regexp_matches(ls[i] || ls[i + 1], '[^\x20\x09-\x0D]') END),
+r AS (
+  SELECT *, count(*) OVER (PARTITION BY n, body) AS times,
+         row_number() OVER (PARTITION BY n, body ORDER BY doc_id NULLS FIRST, doc, i) AS place FROM c),
+m AS (SELECT doc_id, doc, unnest(range(i, i + n)) AS line, place = 1 AS is_first FROM r WHERE times > 1),
+g AS (
+  SELECT doc_id, doc, list(line) AS gone
+  FROM (SELECT doc_id, doc, line FROM m GROUP BY doc_id, doc, line HAVING NOT bool_or(is_first)) GROUP BY doc_id, doc)
+SELECT l.doc_id, len(ls)::BIGINT AS lines, CASE WHEN text IS NULL THEN 0 ELSE coalesce(len(gone), 0) END::BIGINT AS removed_lines,
+       sha256(coalesce(array_to_string(list_transform(
+         list_filter(range(1, len(ls) + 1), lambda i: gone IS NULL OR NOT list_contains(gone, i)), lambda i: ls[i]), chr(10)), ''))
+         AS text_sha256
+FROM l LEFT JOIN g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.doc = g.doc
 """,
 )
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read(spark, folder, "documents").select("doc_id", "text")
-    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
-    cleaned = line_dedup.deduplicate(docs.withColumn("lines", lines))
-    return cleaned.select("doc_id", "lines", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-
-
-@query("op8_passage_dedup")
-def op8_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """As op8_line_dedup, but with every repeated passage and long line, wherever it starts."""
-    docs = read(spark, folder, "documents").select("doc_id", "text")
-    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
-    cleaned = line_dedup.deduplicate_passages(docs.withColumn("lines", lines))
+    cleaned = line_dedup.deduplicate(read(spark, folder, "documents").select("doc_id", "text"), total="lines")
     return cleaned.select("doc_id", "lines", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
