@@ -15,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import fresh, quoted
+from shelfcast.llm.common import quoted
+from shelfcast.plans.durable import durable
 
 MEAN_LINES = 1
 LEAST_WORDS = 10
+BLANK = " \t\n\x0b\x0c\r"
 
 
 def split_lines(text: Column) -> Column:
@@ -31,7 +33,7 @@ def chunk_keys(text: Column, mean: int = MEAN_LINES, least_words: int = LEAST_WO
     long = rf"^\s*+(?:\S++\s++){{{least_words - 1}}}\S"
     marks = F.transform(
         split_lines(text),
-        lambda line: F.struct(F.xxhash64(line).alias("h"), line.rlike(long).alias("long"), line.rlike(r"[^\x20\x09-\x0D]").alias("ink")),
+        lambda line: F.struct(F.xxhash64(line).alias("h"), line.rlike(long).alias("long"), (F.btrim(line, F.lit(BLANK)) != "").alias("ink")),
     )
 
     def keys(marks: Column) -> Column:
@@ -50,25 +52,42 @@ def chunk_keys(text: Column, mean: int = MEAN_LINES, least_words: int = LEAST_WO
     return F.flatten(F.transform(F.array(marks), keys))
 
 
-def _bodies(base: DataFrame, spots: DataFrame, same: Column, text: Column) -> DataFrame:
-    """The lines of the chunks in ``spots``: id, doc, start, hash, body."""
+def _base(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column, Column]:
+    """``docs`` with columns c0, c1, ... and the MD5 of the text; its id and text. No name can clash afterwards."""
+    base = docs.select(*[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    row_id, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    # Never null, also to the planner: a filter for nulls in one of the plans would keep it from reusing the other's shuffle.
+    digest = F.coalesce(F.unhex(F.md5(F.coalesce(text, F.lit("")))), F.lit(b""))
+    return base.withColumn("digest", digest), row_id, text
+
+
+def _of_row(base: DataFrame, found: DataFrame, row_id: Column) -> DataFrame:
+    """``base`` with what was found for its rows; the same join everywhere, so that texts are shuffled once."""
+    return base.join(found, row_id.eqNullSafe(F.col("of_id")) & (F.col("digest") == F.col("of_doc")), "left")
+
+
+def _repeated(base: DataFrame, row_id: Column, text: Column, mean: int, least_words: int) -> DataFrame:
+    place = F.struct("id", "doc", "start")
+    keys = durable(base.select(row_id.alias("id"), F.col("digest").alias("doc"), chunk_keys(text, mean, least_words).alias("keys")))
+    often = keys.select(F.explode("keys").alias("k")).groupBy("k.lines", "k.hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    each = keys.select("id", "doc", F.explode("keys").alias("k")).select("id", "doc", "k.start", "k.lines", "k.hash")
+    again = each.join(often, ["lines", "hash"], "left_semi")
+    spots = again.groupBy(F.col("id").alias("of_id"), F.col("doc").alias("of_doc")).agg(
+        F.collect_set(F.struct("start", "lines", "hash")).alias("spots")
+    )
     bodies = F.flatten(F.transform(
         F.array(split_lines(text)),
-        lambda ls: F.transform(F.col("spots"), lambda s: F.struct(
+        lambda ls: F.transform(F.coalesce(F.col("spots"), F.array()), lambda s: F.struct(
             s["start"].alias("start"), s["lines"].alias("lines"), s["hash"].alias("hash"),
             F.array_join(F.slice(ls, s["start"] + 1, s["lines"]), "\n").alias("body"),
         )),
     ))
-    chunks = base.join(spots, same).select("id", "doc", F.explode(bodies).alias("c"))
-    return chunks.select("id", "doc", "c.start", "c.lines", "c.hash", "c.body")
-
-
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column, Column, str]:
-    """``docs`` with the MD5 of the text, the join condition to (id, doc), the text and the new column's name."""
-    digest = fresh("text_md5", [*docs.columns, "id", "doc", "spots"])
-    text = F.col(quoted(text_col))
-    base = docs.withColumn(digest, F.unhex(F.md5(F.coalesce(text, F.lit("")))))
-    return base, F.col(quoted(id_col)).eqNullSafe(F.col("id")) & (F.col(digest) == F.col("doc")), text, digest
+    chunks = _of_row(base, spots, row_id).select(row_id.alias("id"), F.col("digest").alias("doc"), F.explode_outer(bodies).alias("c"))
+    chunks = chunks.where("c is not null").select("id", "doc", "c.start", "c.lines", "c.hash", "c.body")
+    sha = F.unhex(F.sha2("body", 256)).alias("sha")
+    equal = chunks.groupBy("hash", "body").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
+    found = chunks.select("id", "doc", "start", "lines", "hash", sha).join(equal.select("hash", sha, "first"), ["hash", "sha"])
+    return found.select("id", "doc", "start", "lines", (place == F.col("first")).alias("is_first"))
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = MEAN_LINES,
@@ -78,21 +97,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", me
     First means the smallest (id, doc, start), null ids first. Rows that repeat id and text are one
     document here.
     """
-    rows = docs.select(F.col(quoted(id_col)).alias("row_id"), F.col(quoted(text_col)).alias("row_text"))
-    base, same, text, digest = _texts(rows, "row_id", "row_text")
-    place = F.struct("id", "doc", "start")
-    keys = base.select(F.col("row_id").alias("id"), F.col(digest).alias("doc"), F.explode(chunk_keys(text, mean, least_words)).alias("k"))
-    keys = keys.select("id", "doc", "k.start", "k.lines", "k.hash")
-
-    def twice(found: DataFrame, *by) -> DataFrame:
-        return found.groupBy(*by).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
-
-    again = keys.join(twice(keys, "lines", "hash").drop("first"), ["lines", "hash"], "left_semi")
-    spots = again.groupBy("id", "doc").agg(F.collect_set(F.struct("start", "lines", "hash")).alias("spots"))
-    bodies = _bodies(base, spots, same, text)
-    equal = twice(bodies, "hash", "body").select("hash", F.unhex(F.sha2("body", 256)).alias("digest"), "first")
-    found = bodies.withColumn("digest", F.unhex(F.sha2("body", 256))).drop("body").join(equal, ["hash", "digest"])
-    return found.select("id", "doc", "start", "lines", (place == F.col("first")).alias("is_first"))
+    return _repeated(*_base(docs.select(F.col(quoted(id_col)), F.col(quoted(text_col))), id_col, text_col), mean, least_words)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed: str = "removed_lines", total: str | None = None,
@@ -106,30 +111,26 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     counts = [removed, *([total] if total else [])]
     names = [c for c in docs.columns if c.lower() not in {n.lower() for n in counts}]
-    kept = docs.select(*[F.col(quoted(c)) for c in names])
-    hidden = {n: fresh(n, names) for n in ("id", "doc", "cut")}
-    base, _, text, digest = _texts(kept, id_col, text_col)
+    base, row_id, text = _base(docs.select(*[F.col(quoted(c)) for c in names]), id_col, text_col)
     lines = F.sequence("start", F.col("start") + F.col("lines") - 1)
     cut = (
-        repeated(docs, id_col, text_col, mean, least_words)
-        .groupBy(F.col("id").alias(hidden["id"]), F.col("doc").alias(hidden["doc"]))
+        _repeated(base, row_id, text, mean, least_words)
+        .groupBy(F.col("id").alias("of_id"), F.col("doc").alias("of_doc"))
         .agg(*[
             F.array_distinct(F.flatten(F.collect_set(F.when(F.col("is_first") == first, lines)))).alias(name)
             for name, first in (("later_lines", False), ("first_lines", True))
         ])
-        .select(hidden["id"], hidden["doc"], F.array_except("later_lines", "first_lines").alias(hidden["cut"]))
-        .where(F.size(hidden["cut"]) > 0)
+        .select("of_id", "of_doc", F.array_except("later_lines", "first_lines").alias("cut"))
+        .where(F.size("cut") > 0)
     )
-    spots = F.col(hidden["cut"])
-    same = F.col(quoted(id_col)).eqNullSafe(F.col(hidden["id"])) & (F.col(digest) == F.col(hidden["doc"]))
     left = F.array_join(F.flatten(F.transform(
         F.array(split_lines(text)),
-        lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), spots), lambda i: F.get(ls, i)),
+        lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("cut")), lambda i: F.get(ls, i)),
     )), "\n")
-    gone = spots.isNotNull() & text.isNotNull()
-    figures = [F.when(gone, F.size(spots)).otherwise(0).cast("long").alias(removed)]
+    gone = F.col("cut").isNotNull() & text.isNotNull()
+    figures = [F.when(gone, F.size("cut")).otherwise(0).cast("long").alias(removed)]
     if total:
         figures.append(F.size(split_lines(text)).cast("long").alias(total))
-    return base.join(cut, same, "left").select(
-        *[F.when(gone, left).otherwise(text).alias(c) if c == text_col else F.col(quoted(c)) for c in names], *figures
+    return _of_row(base, cut, row_id).select(
+        *[(F.when(gone, left).otherwise(text) if c == text_col else F.col(f"c{k}")).alias(c) for k, c in enumerate(names)], *figures
     )
