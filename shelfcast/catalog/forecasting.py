@@ -121,7 +121,7 @@ def f6(spark, folder):
         [src.PANEL, src.PREDICTIONS, HELD],
         f"""SELECT {KEYS}, {r(f'greatest(prediction - CAST({z_value(0.95)!r} AS DOUBLE) * s, 0)', 'lower')},
         {r(f'prediction + CAST({z_value(0.95)!r} AS DOUBLE) * s', 'upper')}
-        FROM held, (SELECT STDDEV_POP(prediction) * 0.1 AS s FROM held)""",
+        FROM (SELECT *, STDDEV_POP(prediction) OVER () * 0.1 AS s FROM held)""",
     ),
 )
 def f7(spark, folder):
@@ -135,7 +135,7 @@ def f7(spark, folder):
         [src.PANEL, src.PREDICTIONS, HELD],
         f"""SELECT {KEYS}, {r(f'greatest(prediction - CAST({z_value(0.975)!r} AS DOUBLE) * s, 0)', 'lower')},
         {r(f'prediction + CAST({z_value(0.975)!r} AS DOUBLE) * s', 'upper')}
-        FROM held, (SELECT STDDEV_POP(residual) AS s FROM held)""",
+        FROM (SELECT *, STDDEV_POP(residual) OVER () AS s FROM held)""",
     ),
 )
 def f7_residual(spark, folder):
@@ -276,6 +276,58 @@ def f3_rows(spark, folder):
     return _report_rows(trained, trained["models"]["forest"])
 
 
+_LEARNED: dict[tuple[str, str], tuple] = {}
+
+
+def _learned(spark, folder):
+    """Model of one pass over the training matrix, and its predictions of the report slice."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _LEARNED:
+        matrix = _trained(spark, folder)["matrix"]
+        model = training.fit_learners(matrix)
+        _LEARNED[key] = model, durable(training.apply_learners(model, matrix.where(F.col("slice") == "report")).drop("features"))
+    return _LEARNED[key]
+
+
+def _points(spark, folder, column):
+    return rounded(_learned(spark, folder)[1].select("date", *SERIES, F.col("label").alias("actual"), F.col(column).alias("prediction")))
+
+
+@query("F2_tweedie_trees")
+def f2_tweedie(spark, folder):
+    return _points(spark, folder, "by_level")
+
+
+@query("F3_best_first_trees")
+def f3_best_first(spark, folder):
+    return _points(spark, folder, "by_leaf")
+
+
+@query("F5_quantile_trees")
+def f5_trees(spark, folder):
+    found = _learned(spark, folder)[1]
+    return rounded(found.select("date", *SERIES, F.col("label").alias("actual"), "p10", "p50", "p90"))
+
+
+@query("F5_band_figures")
+def f5_figures(spark, folder):
+    """Coverage and pinball loss on the report slice: quantile trees against constant offsets of the holdout residuals."""
+    trained, learned = _trained(spark, folder), _learned(spark, folder)[1]
+    fixed = bands.residual_quantiles(trained["holdout"], trained["offsets"], SERIES)
+    parts = []
+    for name, df, columns in (("trees", learned, ("p10", "p50", "p90")), ("offsets", fixed, bands.QUANTILES)):
+        for q, c in zip(training.BAND_QUANTILES, columns):
+            gap = F.col("label") - F.col(c)
+            parts.append(df.agg(
+                F.lit(name).alias("band"), F.lit(q).alias("quantile"), F.avg((gap <= 0).cast("double")).alias("covered"),
+                F.avg(F.greatest(gap * q, gap * (q - 1))).alias("pinball"),
+            ))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return rounded(out)
+
+
 @query("F10_search")
 def f10(spark, folder):
     return rounded(training.tune(_trained(spark, folder)["matrix"]))
@@ -308,6 +360,12 @@ def f12_model(spark, folder):
     return rounded(_trained(spark, folder)["backtest"])
 
 
+@query("F12_backtest_of_tweedie_trees")
+def f12_trees(spark, folder):
+    """All folds in one pass over the matrix a tree level."""
+    return rounded(training.boosted_backtest(_trained(spark, folder)["matrix"]))
+
+
 @query(
     "F12_folds_of_model",
     with_(

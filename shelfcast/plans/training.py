@@ -1,8 +1,10 @@
-"""Model training, tuning and backtests on MLlib.
+"""Model training, tuning and backtests.
 
 The assembled matrix is stored once; folds and slices are filters on it. Trees with a Tweedie or
-pinball loss do not exist in MLlib: the point models are a Tweedie GLM, squared-loss boosted trees
-and a random forest, and quantiles are holdout residual quantiles added to the point forecast.
+pinball loss do not exist in MLlib: ``fit_learners`` and ``boosted_backtest`` train them with the
+histogram booster of ``plans.boosting``, all models or folds in one pass. The MLlib models are a
+Tweedie GLM, squared-loss boosted trees and a random forest, whose bands are holdout residual
+quantiles added to the point forecast.
 """
 
 from __future__ import annotations
@@ -11,10 +13,12 @@ import json
 import math
 import random
 from collections.abc import Callable
+from dataclasses import replace
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,9 +28,10 @@ from shelfcast.operators import bands, evaluation
 from shelfcast.operators.cleaning import fill_features
 from shelfcast.operators.features import LAGS, require_daily_grain
 from shelfcast.operators.profile import feature_columns, require_rows
+from shelfcast.plans import boosting
 from shelfcast.plans.durable import durable
 from shelfcast.plans.features import engineer
-from shelfcast.plans.folds import Fold, expanding_folds, label_slices, rolling_folds, split_date
+from shelfcast.plans.folds import Fold, expanding_folds, label_slices, rolling_folds, split_date, split_dates
 
 FEATURES, LABEL, PREDICTION = "features", "label", "prediction"
 
@@ -152,6 +157,86 @@ def ensemble_predict(models: dict, rows: DataFrame, weights=None, cols: PanelCol
     return scored.withColumn(PREDICTION, F.greatest(total, F.lit(0.0))).drop(*[f"_p_{n}" for n in models])
 
 
+# histogram boosting --------------------------------------------------------------------------
+
+# Quantiles of the bands and variance power of the Tweedie loss.
+BAND_QUANTILES = (0.1, 0.5, 0.9)
+TWEEDIE_POWER = 1.5
+LEARNER_ROUNDS = 100
+LEAVES = 31
+
+
+def learners(**settings) -> list[boosting.Booster]:
+    """Point models, grown by level and best-first on sampled rows, and one model per band quantile."""
+    common = {"train": (0,), "stop": (1,), "rounds": LEARNER_ROUNDS, "step": 0.15, "depth": 6, "power": TWEEDIE_POWER, "patience": 8, **settings}
+    return [
+        boosting.Booster("by_level", **common),
+        boosting.Booster("by_leaf", **common | {"depth": common["depth"] + 1, "leaves": LEAVES, "top_rows": 0.2, "rows": 0.4}),
+        *[boosting.Booster(f"p{round(q * 100)}", "pinball", quantile=q, **common | {"depth": 4}) for q in BAND_QUANTILES],
+    ]
+
+
+def _with_block(matrix: DataFrame, block) -> DataFrame:
+    return matrix.withColumn("_block", block).withColumn("_x", vector_to_array(FEATURES))
+
+
+def fit_learners(matrix: DataFrame, boosters=None, cols: PanelColumns = PANEL) -> boosting.Model:
+    """Tweedie trees of both kinds and quantile trees, trained side by side on the train slice and stopped on the stop slice."""
+    number = F.array_position(F.array(*map(F.lit, SLICES)), F.col("slice")).cast("int") - 1
+    return boosting.fit(require_rows(_with_block(matrix, number)), boosters or learners(), "_x", LABEL, "_block", list(cols.grain))
+
+
+def apply_learners(model: boosting.Model, rows: DataFrame) -> DataFrame:
+    """``rows`` with a column per point model and their mean as prediction, and ordered bands; nothing is negative."""
+    low, middle, high = (f"p{round(q * 100)}" for q in BAND_QUANTILES)
+    scored = rows.withColumn("_m", model.predict(vector_to_array(FEATURES)))
+    points = [b.name for b in model.boosters if b.loss != "pinball"]
+    found = [F.greatest(F.col(f"_m.{n}"), F.lit(0.0)).alias(n) for n in points]
+    band = F.array_sort(F.array(*[F.greatest(F.col(f"_m.{n}"), F.lit(0.0)) for n in (low, middle, high)]))
+    scored = scored.select(*[F.col(c) for c in rows.columns], *found, band.alias("_band"))
+    mean = sum((F.col(n) for n in points), F.lit(0.0)) / len(points)
+    ordered = [F.get("_band", k).alias(n) for k, n in enumerate((low, middle, high))]
+    return scored.select("*", mean.alias(PREDICTION), *ordered).drop("_band")
+
+
+def boosted_backtest(matrix: DataFrame, n_splits: int = 5, horizon: int = 30, min_train_frac: float = 0.5, cols: PanelColumns = PANEL,
+                     **settings) -> DataFrame:
+    """Rolling backtest of the Tweedie trees; one pass over the matrix a tree level trains all folds.
+
+    Dates are cut into blocks at every cutoff, test end and start of a fold's stopping rows, and a
+    fold's model learns from the blocks up to its own.
+    """
+    folds = rolling_folds(matrix, n_splits, horizon, min_train_frac, cols)
+    spark, day = matrix.sparkSession, F.col(cols.date)
+    if not folds:
+        return spark.createDataFrame([], BACKTEST_SCHEMA)
+    stops = [split_dates(f.train(matrix, cols.date), [1 - STOP_SHARE], cols)[0] for f in folds]
+    ends = sorted({d for f, s in zip(folds, stops) for d in (s, f.cutoff, f.test_end)})
+    block = sum(((day > F.lit(d)).cast("int") for d in ends), F.lit(0))
+    until = lambda d: tuple(range(ends.index(d) + 1))
+    base = learners(**settings)[0]
+    boosters = [
+        replace(base, name=f"fold_{f.number}", train=until(s), stop=tuple(n for n in until(f.cutoff) if n not in until(s)))
+        for f, s in zip(folds, stops)
+    ]
+    model = boosting.fit(_with_block(matrix, block), boosters, "_x", LABEL, "_block", list(cols.grain))
+    scored = matrix.withColumn("_m", model.predict(vector_to_array(FEATURES)))
+    plan = F.array(*[
+        F.struct(
+            F.lit(f.number).alias("fold"), F.lit(f.cutoff).alias("cutoff"), F.lit(f.test_end).alias("end"),
+            F.greatest(F.col(f"_m.fold_{f.number}"), F.lit(0.0)).alias("prediction"),
+        )
+        for f in folds
+    ])
+    tested = scored.select(LABEL, day, F.explode(F.filter(plan, lambda f: (day > f["cutoff"]) & (day <= f["end"]))).alias("_f"))
+    figures = fold_figures(
+        tested.select("_f.fold", "_f.cutoff", LABEL, F.col("_f.prediction").alias("_p")), F.col(LABEL), F.col("_p"), ["fold", "cutoff"]
+    )
+    counts = matrix.agg(*[F.count_if(day <= F.lit(f.cutoff)).alias(f"n{f.number}") for f in folds]).first()
+    sizes = spark.createDataFrame([(f.number, counts[f"n{f.number}"]) for f in folds], "number int, n_train long")
+    return figures.join(sizes, figures["fold"] == sizes["number"]).select("fold", "cutoff", "n_train", "n_test", "wmape", "mae")
+
+
 # search and validation -----------------------------------------------------------------------
 
 

@@ -223,3 +223,34 @@ def test_job_backtests_the_boosted_trees(panel, monkeypatch):
     assert kinds == ["GBTRegressor", "RandomForestRegressor"]
     with pytest.raises(ValueError):
         training.train(panel, backtest_model="mean")
+
+
+def test_histogram_learners(trained):
+    """Both kinds of Tweedie trees beat the mean, and their bands are ordered."""
+    matrix = trained["matrix"]
+    model = training.fit_learners(matrix, training.learners(rounds=6, depth=3, step=0.5))
+    report = matrix.where("slice = 'report'")
+    found = training.apply_learners(model, report).persist()
+    mean = matrix.where("slice = 'train'").agg(F.avg("label")).scalar()
+    naive = training.score(report.withColumn("prediction", mean))["wmape"]
+    for point in ("by_level", "by_leaf", "prediction"):
+        assert training.score(found.withColumn("prediction", F.col(point)))["wmape"] < naive
+    assert found.where("p10 < 0 or p10 > p50 or p50 > p90").count() == 0
+    assert found.columns[: len(report.columns)] == report.columns
+
+
+def test_backtest_of_all_folds_in_one_pass(trained, monkeypatch):
+    from shelfcast.plans import boosting
+
+    levels = []
+    grow = boosting._Fit._level
+    monkeypatch.setattr(boosting._Fit, "_level", lambda self, *a: levels.append(1) or grow(self, *a))
+    table = training.boosted_backtest(trained["matrix"], n_splits=3, horizon=20, rounds=3, depth=2, step=0.5).collect()
+    assert sorted(r["fold"] for r in table) == [1, 2, 3] and all(0 < r["wmape"] < 100 and r["n_test"] == 40 for r in table)
+    assert len(levels) <= 6
+    assert training.boosted_backtest(trained["matrix"], n_splits=3, horizon=500).count() == 0
+
+
+def test_cut_history(panel):
+    cut = history_with_future(panel, panel.limit(0), rows=60)
+    assert [r["count"] for r in cut.groupBy("store_nbr").count().collect()] == [60, 60]
