@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import time
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -58,6 +59,7 @@ class Booster:
     min_gain: float = 0.0
     min_weight: float = 1.0
     rows: float = 1.0
+    columns: float = 1.0
     top_rows: float = 0.0
     patience: int = 10
     seed: int = 42
@@ -65,9 +67,14 @@ class Booster:
     def __post_init__(self):
         if self.loss not in ("squared", "tweedie", "pinball"):
             raise ValueError(f"unknown loss {self.loss}")
-        if not 1 < self.power < 2 or not 0 < self.quantile < 1 or not 0 < self.rows <= 1 or not 0 <= self.top_rows < 1:
+        if not 1 < self.power < 2 or not 0 < self.quantile < 1 or not 0 < self.rows <= 1 or not 0 < self.columns <= 1 or not 0 <= self.top_rows < 1:
             raise ValueError(f"settings of {self.name} out of range")
 
+    def allowed(self, features: int, tree: int) -> set[int]:
+        """Features that a tree may split on: a seeded share of them, one at least."""
+        order = np.random.default_rng((self.seed, tree)).permutation(features)
+        return set(order[: max(1, round(self.columns * features))].tolist())
+
     def slopes(self, y: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and second derivative of the loss by the score."""
         if self.loss == "squared":
@@ -392,12 +399,15 @@ class _Fit:
         )
         found = parts.repartition("model", "node", "feature").mapInArrow(_splits(self.boosters, self.bins), SPLITS)
         best: dict[tuple[int, int], tuple] = {}
+        allowed = {k: self.boosters[k].allowed(self.features, number) for k in growing}
         for r in sorted(found.collect(), key=lambda r: (r["model"], r["node"], r["feature"])):  # one row a model, node and feature
             if r["node"] < 0:
                 if r["gl"]:
                     self.history[r["model"]].append(r["gain"] / r["gl"])
-            elif (at := (r["model"], r["node"])) not in best or r["gain"] > best[at]["gain"]:
-                best[at] = r
+            elif r["feature"] in allowed[r["model"]]:
+                at = r["model"], r["node"]
+                if at not in best or r["gain"] > best[at]["gain"]:
+                    best[at] = r
         return best
 
     def _stopped(self, k: int) -> bool:
@@ -483,13 +493,15 @@ def _start(rows: DataFrame, boosters: list[Booster]) -> list[float]:
     return out
 
 
-def fit(rows: DataFrame, boosters: list[Booster], features: str, label: str, block: str, keys: list[str], bins: int = BINS) -> Model:
+def fit(rows: DataFrame, boosters: list[Booster], features: str, label: str, block: str, keys: list[str], bins: int = BINS,
+        until: float | None = None) -> Model:
     """Train all ``boosters`` side by side on ``rows``.
 
     ``features`` is an array column of doubles, as long in every row; a missing value goes to the first
     bin. ``block`` is an integer column that says which models learn from a row or stop on it, and
     ``keys`` decide a row's place in samples. Rows without a label are left out; a Tweedie label must not be
-    negative. Trees after the round with the least loss on the stop blocks are dropped.
+    negative. Trees after the round with the least loss on the stop blocks are dropped. No tree is begun after
+    the time ``until`` (of ``time.monotonic``).
     """
     if not 2 <= bins <= 256:
         raise ValueError("bins must be from 2 to 256")
@@ -506,7 +518,7 @@ def fit(rows: DataFrame, boosters: list[Booster], features: str, label: str, blo
     edges = bin_edges(raw.where(F.col("block").isin(*{n for b in boosters for n in b.train})), "features", count, bins)
     fitting = _Fit(durable(raw.mapInArrow(_stored(edges, start), STORED)), boosters, edges, start)
     number = 0
-    while fitting.active:
+    while fitting.active and (until is None or time.monotonic() < until):
         fitting.active -= {k for k in fitting.active if number >= boosters[k].rounds}
         if fitting.active:
             fitting.grow(number)
