@@ -82,8 +82,8 @@ def test_query_finds_each_passage(spark):
 def test_spans_are_places_in_the_original(make_docs, items):
     text = "Ⅷ say “Lonely”, two THREE four ü"
     spans = decontamination.scan(make_docs([(1, text)]), items).first()["spans"]
-    assert [text[s["start"] : s["stop"]] for s in spans] == ["Lonely”, two THREE four"] or [
-        text[s["start"] : s["stop"]] for s in spans] == ["two THREE four"]
+    # The quotation marks are letters of their word, so that one is no match.
+    assert [text[s["start"] : s["stop"]] for s in spans] == ["two THREE four"]
 
 
 def test_a_third_of_all_rows_hold_the_hottest_window(spark, make_docs):
