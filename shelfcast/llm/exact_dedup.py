@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import fresh
+from shelfcast.llm.common import fresh, quoted
 
 
 def content(text: str = "text") -> Column:
@@ -57,7 +57,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pick = {"smallest": F.min, "largest": F.max}[keep]
     missing = F.col(id_col).isNull() if keep == "smallest" else F.col(id_col).isNotNull()
     first, names = fresh("null_rank", docs.columns), docs.columns
-    order = [missing.alias(first), F.col(id_col), *[F.col(c) for c in names if c not in (id_col, text_col)]]
+    order = [missing.alias(first), F.col(id_col), *[F.col(quoted(c)) for c in names if c not in (id_col, text_col)]]
     texts, digest, row = (fresh(n, names) for n in ("dedup_text", "dedup_hash", "dedup_row"))
     # Null and empty are one text; which of them the kept row has is part of its order.
     order.append(F.col(text_col).isNull().alias(fresh("null_text", names)))

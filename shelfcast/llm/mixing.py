@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import fresh
+from shelfcast.llm.common import fresh, quoted
 from shelfcast.plans.durable import durable
 
 WEIGHTS = (3, 1, 2)
@@ -132,7 +132,7 @@ def mix(docs: DataFrame, members: Column, size: Column, wanted=targets, id_col:
     """``docs`` with the words of each row, those and the target of its sources, and the words taken.
 
     ``members`` is an array of sources (null is a source), ``size`` a number of words, ``wanted``
-    a function from source sizes to targets. A row is taken whole, a whole number of times up to
+    a function from source sizes to targets. Columns called like one of ``names``, in any case, are replaced. A row is taken whole, a whole number of times up to
     ``passes``. Rows that repeat id, sources and size stay or go together. For rows of several
     sources the second and third figures are sums. An empty table gives no rows. More than
     MAX_PATTERNS patterns raise an error, since the flow is worked out on the driver.
@@ -207,7 +207,9 @@ def mix(docs: DataFrame, members: Column, size: Column, wanted=targets, id_col:
     extra = F.when(p("rest") == 0, False).when(mine < p("edge"), True).otherwise(F.coalesce(c("extra"), F.lit(False)))
     taken = F.col(words) * (p("whole") + extra.cast("long"))
     added = (F.col(words), p("source_size"), p("target"), taken)
-    return joined.select(*[F.col(f"`{n}`") for n in docs.columns if n not in names], *[e.alias(n) for e, n in zip(added, names)])
+    replaced = {n.lower() for n in names}
+    others = [quoted(n) for n in docs.columns if n.lower() not in replaced]
+    return joined.select(*others, *[e.alias(n) for e, n in zip(added, names)])
 
 
 def word_count(text: str = "text") -> Column:
@@ -224,5 +226,5 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     return (
         found.where(F.col(names[3]) > 0)
         .withColumn(copy, F.explode(F.sequence(F.lit(1), times)))
-        .select(*docs.columns)
+        .select(*map(quoted, docs.columns))
     )

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import fresh
+from shelfcast.llm.common import fresh, quoted
 from shelfcast.llm.components import components
 from shelfcast.llm.words import as_binary, lower_ascii, slices, word_bounds
 from shelfcast.plans.durable import durable
@@ -28,7 +28,9 @@ from shelfcast.plans.durable import durable
 SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
+# Fewest blocks, and the random fingerprints that a bucket may hold before more blocks are taken.
 BLOCKS = 6
+ROWS_PER_BUCKET = 32
 ROWS_PER_CELL = 200_000
 RUN = 8
 PAIRS_AT_ONCE = 1 << 19
@@ -92,9 +94,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")
-    )
+    number, text = F.col(quoted(id_col)), F.col(quoted(text_col))
+    source = docs.select(number.alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     return source.mapInArrow(work, f"doc_id {kind}, text_hash long, fp long")
 
 
@@ -106,9 +107,29 @@ def gray_rank(fp: Column) -> Column:
     return rank.bitwiseXOR(F.lit(-(1 << 63)))
 
 
+def block_edges(blocks: int) -> list[int]:
+    """First bit of each block, and 64."""
+    return [round(64 * k / blocks) for k in range(blocks + 1)]
+
+
+def blocks_for(fingerprints: int, max_bits: int = MAX_BITS, per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Fewest blocks whose buckets hold at most ``per_bucket`` of that many random fingerprints.
+
+    A bucket key has the bits of ``blocks - max_bits`` blocks, so more blocks mean longer keys, and
+    more choices of blocks for each fingerprint. Links between similar fingerprints are the same with
+    any number.
+    """
+    for blocks in range(max(BLOCKS, max_bits + 1), 64):
+        edges = block_edges(blocks)
+        key_bits = sum(sorted(b - a for a, b in zip(edges, edges[1:]))[: blocks - max_bits])
+        if fingerprints <= per_bucket << key_bits:
+            return blocks
+    return 64
+
+
 def block_keys(fp: Column, blocks: int, max_bits: int) -> Column:
     """Array of the bucket keys of a fingerprint: its bits on each choice of agreeing blocks."""
-    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
+    edges = block_edges(blocks)
     masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
     signed = lambda n: n - (1 << 64) if n >= 1 << 63 else n
     keys = []
@@ -269,15 +290,18 @@ def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCK
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
-                    max_bits: int = MAX_BITS, blocks: int = BLOCKS, per_cell: int = ROWS_PER_CELL) -> DataFrame:
+                    max_bits: int = MAX_BITS, blocks: int | None = None, per_cell: int = ROWS_PER_CELL) -> DataFrame:
     """Rows (doc_id, text_hash, fp, component_id), one per row of ``docs``.
 
+    Without ``blocks``, :func:`blocks_for` takes them from the number of different fingerprints.
+
     component_id is the smallest id that links reach; null ids are passed over and give null only
     where a component has no other. Texts without words have fingerprint 0 and link like any
     other; null counts as empty; an empty table gives no rows.
     """
     rows = durable(fingerprints(docs, id_col, text_col, size))
     least = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    blocks = blocks or blocks_for(least.count(), max_bits)
     joined = components(links(least.select("fp"), max_bits, blocks, per_cell))
     # Roots stand for themselves as well.
     members = durable(joined.union(joined.select("root", "root").distinct()))
@@ -300,6 +324,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").distinct()
     digest, other = fresh("text_hash", docs.columns), fresh("kept_id", docs.columns)
     kept = kept.select(F.col("doc_id").alias(other), F.col("text_hash").alias(digest + "_kept"))
-    hashed = docs.withColumn(digest, F.xxhash64(text_col))
-    same = (hashed[digest] == kept[digest + "_kept"]) & hashed[id_col].eqNullSafe(kept[other])
-    return hashed.join(kept, same, "left_semi").select(*docs.columns)
+    hashed = docs.withColumn(digest, F.xxhash64(F.col(quoted(text_col))))
+    same = (hashed[digest] == kept[digest + "_kept"]) & hashed[quoted(id_col)].eqNullSafe(kept[other])
+    return hashed.join(kept, same, "left_semi").select(*map(quoted, docs.columns))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfcast.llm.common import fresh
+from shelfcast.llm.common import fresh, quoted
 from shelfcast.llm.words import distinct, slices, split_words, take_runs
 from shelfcast.plans.durable import durable
 
@@ -350,18 +350,24 @@ def _describe(names: list[str]):
 
 
 def with_score(docs: DataFrame, scorer: Scorer, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the score of each text in 0 to 1; null counts as empty."""
+    """``docs`` with the score of each text in 0 to 1; null counts as empty.
+
+    The columns have plain names on their way through Python, so any name of theirs comes back.
+    """
+    kept = [f for f in docs.schema.fields if f.name != name]
+    text = f"c{[f.name for f in kept].index(text_col)}"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen(scorer.names)
         for batch in batches:
-            for part in slices(batch, text_col):
-                found = pa.array(scorer.score(part.column(text_col), seen))
-                yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, name])
+            for part in slices(batch, text):
+                found = pa.array(scorer.score(part.column(text), seen))
+                yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, "found"])
 
-    kept = [f for f in docs.schema.fields if f.name != name]
-    schema = T.StructType([*kept, T.StructField(name, T.DoubleType())])
-    return docs.select(*[f.name for f in kept]).mapInArrow(work, schema)
+    plain = [T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(kept)]
+    rows = docs.select(*[F.col(quoted(f.name)).alias(p.name) for f, p in zip(kept, plain)])
+    scored = rows.mapInArrow(work, T.StructType([*plain, T.StructField("found", T.DoubleType())]))
+    return scored.toDF(*[f.name for f in kept], name)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -377,4 +383,4 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier does not call toxic, with the same columns."""
     name = fresh("score", docs.columns)
-    return with_score(docs, train(docs, labels, id_col, text_col), text_col, name).where(F.col(name) < 0.5).select(*docs.columns)
+    return with_score(docs, train(docs, labels, id_col, text_col), text_col, name).where(F.col(name) < 0.5).select(*map(quoted, docs.columns))

@@ -136,3 +136,11 @@ def test_flow_is_the_cheapest(seed):
 def test_empty_table(no_docs):
     assert mixing.mix(no_docs, F.array("source"), mixing.word_count()).count() == 0
     assert mixing.mixed_documents(no_docs).count() == 0
+
+
+def test_clashing_names(make_docs):
+    """A column called like an added one, in another case, gives way to it."""
+    docs = make_docs([(1, "a b c", "s"), (2, "d", "t")]).withColumn("SIZE", F.lit("x")).withColumn("a.b", F.lit(1))
+    out = mixing.mix(docs, F.array("source"), mixing.word_count())
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "a.b", "size", "source_size", "target", "taken"]
+    assert {(r["doc_id"], r["size"]) for r in out.collect()} == {(1, 3), (2, 1)}

@@ -75,6 +75,17 @@ def test_packed_pieces_are_the_documents(stages):
     test_packing.check(after, [(r["doc_id"], r["text"]) for r in before], slack=1.05)
 
 
+def test_stages_keep_odd_columns(spark):
+    """Dots, back-quotes and names that the stages use themselves come through every stage."""
+    odd = {"a.b": F.col("doc_id") * 2, "c`d": F.lit("x"), "score": F.lit(7), "TAKEN": F.lit("y"), "copy": F.lit(None).cast("int")}
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("*", *[v.alias(k) for k, v in odd.items()])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(tuple(r)[5:] == (r["doc_id"] * 2, "x", 7, "y", None) for r in rows)
+
+
 def test_registered():
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]

@@ -73,13 +73,13 @@ def clusters(seed, centres, each, flips):
     return sorted(out)
 
 
-@pytest.mark.parametrize("cell", [7, 1000])
-def test_links_lose_nothing(spark, cell):
+@pytest.mark.parametrize("cell, blocks", [(7, 6), (1000, 6), (1000, 7), (20, 8)])
+def test_links_lose_nothing(spark, cell, blocks):
     """Chains, stars and random patterns; a small cell cuts the buckets into blocks."""
     fps = clusters(cell, 12, 25, 5) + [0, (1 << 64) - 1, 15, 31]
     fps = sorted(set(fps))
     rows = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    out = components(simhash.links(rows, per_cell=cell))
+    out = components(simhash.links(rows, blocks=blocks, per_cell=cell))
     root = {r["node"] & (1 << 64) - 1: r["root"] & (1 << 64) - 1 for r in out.collect()}
     classes = {}
     for f in fps:
@@ -115,3 +115,18 @@ def test_one_document_of_each_group_stays(make_docs):
 def test_empty_table(no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
     assert simhash.deduplicate(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("bits", [0, 1, 4, 7])
+def test_buckets_stay_small_as_the_table_grows(bits):
+    """Random fingerprints a bucket: the table shared out over the patterns of the shortest key."""
+    taken = []
+    for power in range(3, 14):
+        n = 10**power
+        blocks = simhash.blocks_for(n, bits)
+        widths = sorted(b - a for a, b in zip(simhash.block_edges(blocks), simhash.block_edges(blocks)[1:]))
+        assert sum(widths) == 64 and blocks > bits
+        assert n / 2 ** sum(widths[: blocks - bits]) <= simhash.ROWS_PER_BUCKET
+        taken.append(blocks)
+    assert taken == sorted(taken)
+    assert simhash.blocks_for(10**6) == simhash.BLOCKS
