@@ -6,6 +6,8 @@ one row per calendar day, which bounds every window group whatever the size of t
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,17 @@ WINDOWS = (7, 30, 90)
 PROMO_WINDOWS = (7, 30)
 
 
+@dataclass(frozen=True)
+class SeriesStart:
+    """What is known of a series whose first rows are not at hand: the number of those rows, the row numbers of the
+    last promotion and of the last row without (0: none), and whether a row has all the rows that it looks back to."""
+
+    rows: Column
+    promo_row: Column
+    plain_row: Column
+    whole: Column
+
+
 def series_window(df: DataFrame, cols: PanelColumns = PANEL):
     """Rows of one series by date. A table without the series keys raises: all its rows would be one group.
 
@@ -150,9 +163,10 @@ def add_rolling(df: DataFrame, cols: PanelColumns = PANEL, windows=WINDOWS, gap:
     return fill_forward(rolled, [c for c in rolled.columns if c not in df.columns], cols) if fill else rolled
 
 
-def filled_columns(window, columns) -> dict[str, Column]:
-    """Last known value of each column along the window."""
-    return {c: F.last(c, ignorenulls=True).over(window) for c in columns}
+def filled_columns(window, columns, start: SeriesStart | None = None) -> dict[str, Column]:
+    """Last known value of each column along the window; with a start, of the rows that are whole."""
+    seen = {c: F.when(start.whole, F.col(c)) if start else F.col(c) for c in columns}
+    return {c: F.last(v, ignorenulls=True).over(window) for c, v in seen.items()}
 
 
 def fill_forward(df: DataFrame, columns, cols: PanelColumns = PANEL) -> DataFrame:
@@ -189,12 +203,15 @@ def promo_columns(window, cols: PanelColumns = PANEL, windows=PROMO_WINDOWS) ->
     return out
 
 
-def run_columns(window, row: str, cols: PanelColumns = PANEL, any_positive: bool = False) -> dict[str, Column]:
+def run_columns(window, row: str, cols: PanelColumns = PANEL, any_positive: bool = False,
+                start: SeriesStart | None = None) -> dict[str, Column]:
     """Rows since the last promotion and running promotion streak, from the row number in ``row``."""
     on_promo = (F.col(cols.promo) > 0) if any_positive else (F.col(cols.promo) == 1)
     on_promo = F.coalesce(on_promo, F.lit(False))
     last_promo = F.max(F.when(on_promo, F.col(row))).over(window)
     last_plain = F.max(F.when(~on_promo, F.col(row))).over(window)
+    if start:
+        last_promo, last_plain = F.greatest(last_promo, start.promo_row), F.greatest(last_plain, start.plain_row)
     return {
         "days_since_promo": (F.col(row) - F.coalesce(last_promo, F.lit(0))).cast("long"),
         "promo_streak": (F.col(row) - F.coalesce(last_plain, F.lit(0))).cast("long"),

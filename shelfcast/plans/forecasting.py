@@ -43,11 +43,25 @@ def future_features(history: DataFrame, future: DataFrame, columns, oil=None, ho
 def forecast(history: DataFrame, future: DataFrame, trained: dict, oil=None, holidays=None, horizon: int = 30,
              weights=None, name: str = "ensemble", check_grain: bool = True, cols: PanelColumns = PANEL) -> DataFrame:
     """Point and P10/P50/P90 forecasts of the future rows; ``level`` says whose residuals made the band."""
-    from shelfcast.plans.training import assemble, ensemble_predict
-
     if check_grain:
         require_daily_grain(history, cols)
-    rows = assemble(future_features(history, future, trained["columns"], oil, holidays, horizon, cols), trained["columns"], cols)
+    rows = future_features(history, future, trained["columns"], oil, holidays, horizon, cols)
+    return _banded(rows, trained, weights, name, cols)
+
+
+def forecast_from_state(state: DataFrame, future: DataFrame, trained: dict, oil=None, holidays=None, horizon: int = 30,
+                        weights=None, name: str = "ensemble", cols: PanelColumns = PANEL) -> DataFrame:
+    """The same forecasts from the kept state of the series (``plans.state``) in place of their history."""
+    from shelfcast.plans.state import features_from_state
+
+    rows = features_from_state(state, future, oil, holidays, horizon, cols=cols)
+    return _banded(align_columns(rows, trained["columns"], [*cols.grain, cols.target]), trained, weights, name, cols)
+
+
+def _banded(features: DataFrame, trained: dict, weights, name: str, cols: PanelColumns) -> DataFrame:
+    from shelfcast.plans.training import assemble, ensemble_predict
+
+    rows = assemble(features, trained["columns"], cols)
     points = ensemble_predict(trained["models"], rows, weights, cols)
     banded = bands.residual_quantiles(points, trained["offsets"], cols.series)
     return banded.select(

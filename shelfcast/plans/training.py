@@ -84,18 +84,28 @@ def random_forest(**settings) -> Estimator:
 # matrix --------------------------------------------------------------------------------------
 
 
+MODEL_WINDOWS = (7, 30)
+
+
+def model_lags(horizon: int) -> list[int]:
+    """Lags that are known ``horizon`` rows ahead."""
+    return [k for k in LAGS if k >= horizon] or [horizon]
+
+
+def gap_columns(wide: DataFrame, cols: PanelColumns = PANEL) -> list[str]:
+    """Features that can be missing: lags, rolling figures and index features."""
+    return [c for c in feature_columns(wide, cols) if c.startswith((f"{cols.target}_", f"{cols.promo}_lag_", "oil_"))]
+
+
 def model_features(panel: DataFrame, oil=None, holidays=None, transactions=None, horizon: int = 30,
-                   windows=(7, 30), cols: PanelColumns = PANEL) -> DataFrame:
+                   windows=MODEL_WINDOWS, cols: PanelColumns = PANEL) -> DataFrame:
     """Features known ``horizon`` rows ahead, missing ones filled inside the series.
 
-    Only lags, rolling figures and index features can be missing. Transactions of the future are
-    unknown and stay out of the feature columns.
+    Transactions of the future are unknown and stay out of the feature columns.
     """
-    lags = [k for k in LAGS if k >= horizon] or [horizon]
-    wide = engineer(panel, oil, holidays, transactions, gap=horizon, series_mean=False, lags=lags,
+    wide = engineer(panel, oil, holidays, transactions, gap=horizon, series_mean=False, lags=model_lags(horizon),
                     windows=windows, cols=cols)
-    gaps = (f"{cols.target}_", f"{cols.promo}_lag_", "oil_")
-    return fill_features(wide, [c for c in feature_columns(wide, cols) if c.startswith(gaps)], cols, backward=False)
+    return fill_features(wide, gap_columns(wide, cols), cols, backward=False)
 
 
 def assemble(df: DataFrame, columns, cols: PanelColumns = PANEL, keep=()) -> DataFrame:
