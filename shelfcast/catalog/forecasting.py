@@ -7,11 +7,12 @@ from shelfcast.catalog.inputs import rounded
 from shelfcast.catalog.registry import query
 from shelfcast.catalog.sqltext import BY_DATE, KEYS, b, r, with_
 from shelfcast.functions.stats import z_value
-from shelfcast.operators import bands
+from shelfcast.operators import bands, features
 from shelfcast.plans import training
 from shelfcast.plans.durable import durable
 from shelfcast.plans.folds import label_slices
-from shelfcast.plans.forecasting import forecast
+from shelfcast.plans.forecasting import forecast, forecast_from_state
+from shelfcast.plans.state import advance, features_from_state, series_state
 
 SERIES = ["store_nbr", "family"]
 
@@ -450,6 +451,70 @@ def f15_rows(spark, folder):
     )
 
 
+# The last days of the panel come to the state twice: as new days with wrong sales, then corrected.
+STATE_DAYS = 20
+STATE_LAGS = [k for k in features.LAGS if k >= src.HORIZON]
+STATE_NAMES = [
+    *[f"sales_lag_{k}" for k in STATE_LAGS], *[f"onpromotion_lag_{k}" for k in features.PROMO_LAGS],
+    *[f"sales_rolling_{name}_{n}" for n in training.MODEL_WINDOWS for name in ("mean", "std", "min", "max")],
+    *[f"promo_frequency_{n}d" for n in features.PROMO_WINDOWS], "days_since_promo", "promo_streak",
+]
+
+
+def _state(spark, folder):
+    history, oil, holidays = _inputs(spark, folder)
+    last = history.agg(F.max("date")).first()[0]
+    old = history.where(F.col("date") <= F.date_sub(F.lit(last), STATE_DAYS))
+    new = history.where(F.col("date") > F.date_sub(F.lit(last), STATE_DAYS))
+    state = series_state(old, oil, holidays, src.HORIZON)
+    state = advance(state, new.withColumn("sales", F.col("sales") + 1), oil, holidays, src.HORIZON)
+    return advance(state, new, oil, holidays, src.HORIZON)
+
+
+def _state_sql():
+    over = lambda frame: f"OVER ({BY_DATE} ROWS BETWEEN {frame})"
+    parts = [f"lag(sales, {k}) OVER ({BY_DATE}) AS sales_lag_{k}" for k in STATE_LAGS]
+    parts += [f"lag(onpromotion, {k}) OVER ({BY_DATE}) AS onpromotion_lag_{k}" for k in features.PROMO_LAGS]
+    for n in training.MODEL_WINDOWS:
+        frame = over(f"{n - 1 + src.HORIZON} PRECEDING AND {src.HORIZON} PRECEDING")
+        calls = (("mean", "AVG"), ("std", "STDDEV_SAMP"), ("min", "MIN"), ("max", "MAX"))
+        parts += [f"{fn}(sales) {frame} AS sales_rolling_{name}_{n}" for name, fn in calls]
+    parts += [f"AVG(onpromotion) {over(f'{n - 1} PRECEDING AND CURRENT ROW')} AS promo_frequency_{n}d" for n in features.PROMO_WINDOWS]
+    running = over("UNBOUNDED PRECEDING AND CURRENT ROW")
+    runs = f"""rn - COALESCE(MAX(CASE WHEN onpromotion = 1 THEN rn END) {running}, 0) AS days_since_promo,
+    rn - COALESCE(MAX(CASE WHEN onpromotion <> 1 THEN rn END) {running}, 0) AS promo_streak"""
+    fills = [c for c in STATE_NAMES if c.startswith(("sales_", "onpromotion_"))]
+    filled = ", ".join(f"COALESCE(last_value({c} IGNORE NULLS) {running}, 0) AS {c}" for c in fills)
+    return with_(
+        [
+            src.PANEL, src.FUTURE,
+            """stacked AS (SELECT date, store_nbr, family, sales, onpromotion, false AS ahead FROM panel
+            UNION ALL SELECT date, store_nbr, family, NULL, onpromotion, true FROM future),
+            counted AS (SELECT *, row_number() OVER (""" + BY_DATE + """) AS rn FROM stacked)""",
+            f"built AS (SELECT date, store_nbr, family, ahead, {', '.join(parts)}, {runs} FROM counted)",
+            f"filled AS (SELECT * REPLACE ({filled}) FROM built)",
+        ],
+        f"SELECT {KEYS}, {', '.join(b(c, c) if c in ('days_since_promo', 'promo_streak') or c.startswith('onpromotion_') else r(c, c) for c in STATE_NAMES)}"
+        " FROM filled WHERE ahead",
+    )
+
+
+@query("F15_features_from_state", _state_sql())
+def f15_features(spark, folder):
+    """Features of the future rows from a state that was advanced twice, the SQL's from the whole history."""
+    _, oil, holidays = _inputs(spark, folder)
+    found = features_from_state(_state(spark, folder), src.future(spark, folder), oil, holidays, src.HORIZON)
+    return rounded(found.select("date", *SERIES, *STATE_NAMES))
+
+
+@query("F15_forecast_from_state")
+def f15_state(spark, folder):
+    """The forecasts of F15_forecast without reading the history."""
+    trained = _trained(spark, folder)
+    _, oil, holidays = trained["inputs"]
+    return rounded(forecast_from_state(_state(spark, folder), src.future(spark, folder), trained, oil, holidays, src.HORIZON))
+
+
 @query("F16_training")
 def f16(spark, folder):
     """Metrics of the report slice, figures of every backtest fold and features of every saved model."""
