@@ -4,9 +4,11 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from shelfcast.plans.forecasting import history_with_future
+from shelfcast.operators import bands
+from shelfcast.operators.profile import feature_columns
+from shelfcast.plans.forecasting import forecast, forecast_from_state, history_with_future
 from shelfcast.plans.state import advance, features_from_state, reach, series_state
-from shelfcast.plans.training import model_features
+from shelfcast.plans.training import fit, model_features, predict, random_forest, residuals, training_matrix
 from tests.conftest import DAY0, PANEL_SCHEMA
 
 HORIZON, LATE = 5, 4
@@ -101,3 +103,18 @@ def test_days_before_the_anchor_raise(spark, make_panel):
         advance(state, panel.where(F.col("date") == F.lit(DAY0 + timedelta(days=35))), late=LATE, **OPTIONS)
     with pytest.raises(ValueError, match="reaches"):
         advance(state, panel, horizon=400, windows=(3, 8))
+
+
+def test_forecasts_equal_those_from_the_history(spark, make_panel):
+    panel = make_panel(80, promo=lambda i: int(i % 5 == 0))
+    wide = model_features(panel, horizon=HORIZON)
+    columns = feature_columns(wide)
+    matrix = training_matrix(wide, columns)
+    models = {"forest": fit(random_forest(numTrees=3, maxDepth=3), matrix)}
+    offsets = bands.pooled_offsets(residuals(predict(models["forest"], matrix)), ["store_nbr", "family"])
+    trained = {"models": models, "columns": columns, "offsets": offsets}
+    future = future_of(spark, 80, ((1, "GROCERY"), (2, "DAIRY")))
+    want = forecast(panel, future, trained, horizon=HORIZON)
+    got = forecast_from_state(series_state(panel, horizon=HORIZON, late=LATE), future, trained, horizon=HORIZON)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 2 * HORIZON
