@@ -7,7 +7,7 @@ from shelfcast.catalog.inputs import rounded
 from shelfcast.catalog.registry import query
 from shelfcast.catalog.sqltext import BY_DATE, KEYS, SERIES, b, r, with_
 from shelfcast.functions.stats import normal_quantile, z_value
-from shelfcast.operators import external, features
+from shelfcast.operators import external, features, grouped
 from shelfcast.plans.features import engineer
 
 ID = ["date", "store_nbr", "family"]
@@ -455,3 +455,36 @@ def d7(spark, folder):
     line = src.table(spark, folder, "lineitem")
     p = (F.col("l_quantity") - 0.5) / 50.0
     return rounded(line.select("l_orderkey", "l_linenumber", "l_quantity", normal_quantile(p).alias("z")), 9)
+
+
+# callables on groups
+
+
+CALLABLE_ROLL = [f"own_{name}" for name, _ in STATS]
+
+
+@query(
+    "P1_group_transform",
+    with_(
+        [src.PANEL, f"p AS (SELECT date, store_nbr, family, {roll_sql(windows=(30,))} FROM panel)"],
+        f"SELECT {KEYS}, {', '.join(r(f'sales_rolling_{name}_30', f'own_{name}') for name, _ in STATS)} FROM p",
+    ),
+)
+def p1(spark, folder):
+    df = grouped.scan_groups(src.panel(spark, folder), ID[1:], ["date"], ["sales"], grouped.rolling("sales", 30, "own"))
+    return rounded(df.select(*ID, *CALLABLE_ROLL))
+
+
+@query("P2_group_apply", with_([src.PANEL, NUMBERED, f"p AS (SELECT *, {run_sql()} FROM numbered)"],
+                               f"SELECT {KEYS}, days_since_promo, promo_streak FROM p"))
+def p2(spark, folder):
+    scan = grouped.since_event("onpromotion", "days_since_promo", "promo_streak")
+    df = grouped.scan_groups(src.panel(spark, folder), ID[1:], ["date"], ["onpromotion"], scan)
+    return rounded(df.select(*ID, "days_since_promo", "promo_streak"))
+
+
+@query("P3_group_aggregate", with_([src.HOLIDAYS, HOLIDAYS_BY_DATE],
+                                   "SELECT date, holiday_type, holiday_locale, is_transferred FROM holf"))
+def p3(spark, folder):
+    agg = grouped.joined_values({"type": "holiday_type", "locale": "holiday_locale"}, {"transferred": "is_transferred"})
+    return rounded(grouped.aggregate_groups(src.holidays(spark, folder), ["date"], ["type", "locale", "transferred"], agg))
