@@ -36,30 +36,40 @@ def f1(spark, folder):
     )
 
 
+MEAN_BACKTEST = with_(
+    [
+        src.PANEL,
+        """days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, COUNT(*) OVER () AS u FROM (SELECT DISTINCT date FROM panel)),
+        pos AS (SELECT DISTINCT CAST(trunc(trunc(u * 0.5) + k * ((u - 31) - trunc(u * 0.5)) / 4.0) AS BIGINT) AS c, u
+                FROM (SELECT MAX(u) AS u FROM days), (SELECT unnest([0, 1, 2, 3, 4]) AS k)),
+        folds AS (SELECT row_number() OVER (ORDER BY c) AS fold, a.date AS cutoff, e.date AS test_end
+                  FROM pos JOIN days a ON a.i = c JOIN days e ON e.i = least(c + 30, pos.u - 1)),
+        means AS (SELECT fold, store_nbr, family, AVG(sales) AS m, COUNT(*) AS n FROM folds JOIN panel ON date <= cutoff GROUP BY 1, 2, 3),
+        tested AS (SELECT f.fold, cutoff, sales, greatest(COALESCE(m, 0), 0) AS m FROM folds f
+                   JOIN panel p ON p.date > cutoff AND p.date <= test_end
+                   LEFT JOIN means q ON q.fold = f.fold AND q.store_nbr = p.store_nbr AND q.family = p.family)""",
+    ],
+    """SELECT fold, cutoff, (SELECT CAST(SUM(n) AS BIGINT) FROM means x WHERE x.fold = t.fold) AS n_train, COUNT(*) AS n_test,
+    round(SUM(ABS(sales - m)) / greatest(SUM(ABS(sales)), 1e-9) * 100, 3) AS wmape,
+    round(AVG(ABS(sales - m)), 3) AS mae FROM tested t GROUP BY fold, cutoff""",
+)
+
+
 @query(
     "F12_backtest_of_series_mean",
-    with_(
-        [
-            src.PANEL,
-            """days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, COUNT(*) OVER () AS u FROM (SELECT DISTINCT date FROM panel)),
-            pos AS (SELECT DISTINCT CAST(trunc(trunc(u * 0.5) + k * ((u - 31) - trunc(u * 0.5)) / 4.0) AS BIGINT) AS c, u
-                    FROM (SELECT MAX(u) AS u FROM days), (SELECT unnest([0, 1, 2, 3, 4]) AS k)),
-            folds AS (SELECT row_number() OVER (ORDER BY c) AS fold, a.date AS cutoff, e.date AS test_end
-                      FROM pos JOIN days a ON a.i = c JOIN days e ON e.i = least(c + 30, pos.u - 1)),
-            means AS (SELECT fold, store_nbr, family, AVG(sales) AS m, COUNT(*) AS n FROM folds JOIN panel ON date <= cutoff GROUP BY 1, 2, 3),
-            tested AS (SELECT f.fold, cutoff, sales, greatest(COALESCE(m, 0), 0) AS m FROM folds f
-                       JOIN panel p ON p.date > cutoff AND p.date <= test_end
-                       LEFT JOIN means q ON q.fold = f.fold AND q.store_nbr = p.store_nbr AND q.family = p.family)""",
-        ],
-        """SELECT fold, cutoff, (SELECT CAST(SUM(n) AS BIGINT) FROM means x WHERE x.fold = t.fold) AS n_train, COUNT(*) AS n_test,
-        round(SUM(ABS(sales - m)) / greatest(SUM(ABS(sales)), 1e-9) * 100, 3) AS wmape,
-        round(AVG(ABS(sales - m)), 3) AS mae FROM tested t GROUP BY fold, cutoff""",
-    ),
+    MEAN_BACKTEST,
 )
 def f12(spark, folder):
     return rounded(training.mean_backtest(durable(src.panel(spark, folder))), 3)
 
 
+@query("P4_backtest_of_given_model", MEAN_BACKTEST)
+def p4(spark, folder):
+    """The rolling backtest with an Estimator of the caller's own, which has the same SQL as the mean's."""
+    rows = durable(src.panel(spark, folder)).withColumn("label", F.col("sales").cast("double"))
+    return rounded(training.rolling_backtest(rows, training.SeriesMean), 3)
+
+
 # bands and ensembles on the seven-row-lag prediction
 
 HELD = """held AS (SELECT *, predicted AS prediction, actual - predicted AS residual FROM predictions),

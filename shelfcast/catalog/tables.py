@@ -6,7 +6,7 @@ from shelfcast.catalog import inputs as src
 from shelfcast.catalog.inputs import rounded
 from shelfcast.catalog.registry import query
 from shelfcast.catalog.sqltext import KEYS, b, r, with_
-from shelfcast.operators import profile
+from shelfcast.operators import features, profile
 from shelfcast.plans.durable import run_folder
 from shelfcast.sources import tables as io
 
@@ -117,6 +117,28 @@ def s9(spark, folder):
     return rounded(io.read_panel(spark, path, "1997-03-15", "1999-02-10"))
 
 
+SERIES_SQL = """f AS (SELECT date, store_nbr, family,
+  AVG(sales) OVER (PARTITION BY store_nbr, family ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS sales_rolling_mean_7,
+  lag(sales, 7) OVER (PARTITION BY store_nbr, family ORDER BY date) AS sales_lag_7,
+  AVG(sales) OVER (PARTITION BY store_nbr, family) AS store_family_mean_sales FROM panel)"""
+
+
+@query(
+    "S9_series_table",
+    with_(
+        [src.PANEL, SERIES_SQL],
+        f"SELECT {KEYS}, {', '.join(r(c, c) for c in ('sales_rolling_mean_7', 'sales_lag_7', 'store_family_mean_sales'))} FROM f",
+    ),
+)
+def s9_series(spark, folder):
+    """Windows and the series mean on a table in buckets of whole series, without a shuffle after the scan."""
+    path = scratch(spark, "series")
+    stored = io.write_series(src.panel(spark, folder), path, "series_" + path[-32:])
+    wide = features.add_lags(features.add_rolling(stored, windows=(7,), fill=False), lags=(7,), promo_lags=())
+    wide = wide.withColumn("store_family_mean_sales", features.series_mean(features.series_window(wide)))
+    return rounded(wide.select("date", "store_nbr", "family", "sales_rolling_mean_7", "sales_lag_7", "store_family_mean_sales"))
+
+
 @query("S10_present_columns", with_(src.PANEL, f"SELECT date, {b('store_nbr', 'store_nbr')}, {r('sales', 'sales')} FROM panel"))
 def s10(spark, folder):
     return rounded(io.select_present(src.panel(spark, folder), ["date", "store_nbr", "city", "sales", "cluster"]))

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
@@ -67,6 +67,29 @@ def tweedie_glm(variance_power: float = 1.2, reg: float = 0.01, max_iter: int =
     )
 
 
+class SeriesMean(Estimator):
+    """Baseline: the mean of the series, 0 for a series without rows."""
+
+    def __init__(self, cols: PanelColumns = PANEL):
+        super().__init__()
+        self.cols = cols
+
+    def _fit(self, dataset: DataFrame) -> SeriesMeanModel:
+        return SeriesMeanModel(durable(dataset.groupBy(*self.cols.series).agg(F.avg(LABEL).alias("_mean"))), self.cols)
+
+
+class SeriesMeanModel(Model):
+    """Fitted means, one row per series."""
+
+    def __init__(self, means: DataFrame, cols: PanelColumns = PANEL):
+        super().__init__()
+        self.means, self.cols = means, cols
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        found = dataset.join(self.means, list(self.cols.series), "left")
+        return found.withColumn(PREDICTION, F.coalesce(F.col("_mean"), F.lit(0.0))).drop("_mean")
+
+
 def boosted_trees(validation: str | None = None, **settings) -> Estimator:
     """Squared-loss boosted trees; with a validation column they stop early."""
     chosen = {"maxIter": ROUNDS, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42, **settings}

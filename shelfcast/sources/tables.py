@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,6 +137,55 @@ def read_panel(spark: SparkSession, path: str, start=None, end=None, date: str =
     return df.drop("p_year", "p_month")
 
 
+def write_series(df: DataFrame, path: str, table: str, buckets: int | None = None, keys=("store_nbr", "family"),
+                 date: str = "date") -> DataFrame:
+    """Write a panel as a table in buckets of whole series, sorted by date, and open it.
+
+    Windows, joins and groupings by series read it without a shuffle; joins by series and date do
+    with ``spark.sql.requireAllClusterKeysForCoPartition`` off. Each bucket is one file, written
+    by one task, so ``buckets`` (by default the number of shuffle partitions) should keep a bucket
+    within the memory of a task; a series has at most one row per day, so none fills a bucket. The
+    keys and the number of buckets are kept beside the files, for :func:`open_series`.
+    """
+    spark, keys = df.sparkSession, list(keys)
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(buckets, *keys).sortWithinPartitions(*keys, date)
+    writer = dealt.write.mode("overwrite").format("parquet").option("path", path)
+    writer.bucketBy(buckets, *keys).sortBy(*keys, date).saveAsTable(table)
+    spec = [(df.schema.json(), buckets, keys, date)]
+    spark.createDataFrame(spec, SERIES_SPEC).coalesce(1).write.mode("overwrite").json(_spec_path(path))
+    return open_series(spark, path, table)
+
+
+SERIES_SPEC = "columns string, buckets int, keys array<string>, date string"
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _spec_path(path: str) -> str:
+    return path.rstrip("/") + "_spec"
+
+
+def open_series(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A table of :func:`write_series`, registered again if this session's catalog does not know it.
+
+    With ``spark.sql.legacy.bucketedTableScan.outputOrdering`` set, the order inside the files is used
+    too and windows need no sort.
+    """
+    if not spark.catalog.tableExists(table):
+        spec = spark.read.schema(SERIES_SPEC).json(_spec_path(path)).first()
+        fields = T.StructType.fromJson(json.loads(spec["columns"])).fields
+        columns = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in fields)
+        keys = ", ".join(map(_quoted, spec["keys"]))
+        spark.sql(
+            f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({keys})"
+            f" SORTED BY ({keys}, {_quoted(spec['date'])}) INTO {spec['buckets']} BUCKETS LOCATION '{path}'"
+        )
+    return spark.table(table)
+
+
 # Folders of a run's outputs, by name.
 OUTPUT_TABLES = ("features", "forecasts", "recommendations", "abc", "backtest")
 

@@ -3,7 +3,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from shelfcast.operators import profile
+from shelfcast.operators import features, profile
 from shelfcast.sources import tables
 
 
@@ -82,3 +82,33 @@ def test_durable_reads_the_session_folder(spark, make_panel):
     assert spark.conf.get("spark.checkpoint.dir") == folder
     kept = durable(make_panel(3))
     assert folder.split(":")[-1] in kept.inputFiles()[0]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_series_table_needs_no_shuffle(make_panel, spark, tmp_path):
+    panel, path = make_panel(60, promo=lambda i: int(i % 5 == 0)), str(tmp_path / "series")
+    tables.write_series(panel, path, "series_of_test", buckets=3)
+    spark.sql("drop table series_of_test")
+    assert not spark.catalog.tableExists("series_of_test")
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    try:
+        tables.open_series(spark.newSession(), path, "series_of_test")
+        again = spark.table("series_of_test")
+        assert sorted(map(tuple, again.collect())) == sorted(map(tuple, panel.select(*again.columns).collect()))
+        wide = features.add_promo_runs(features.add_rolling(again, windows=(7,)))
+        assert "Exchange" not in plan_of(wide) and "Sort " not in plan_of(wide)
+        assert "Exchange" not in plan_of(wide.withColumn("mean", features.series_mean(features.series_window(wide))))
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        other = tables.write_series(panel.select("date", "store_nbr", "family", F.col("sales").alias("other")), path + "2", "other_of_test", 3)
+        joined = again.join(other.hint("merge"), ["store_nbr", "family", "date"])
+        assert "Exchange" not in plan_of(joined) and joined.count() == panel.count()
+        rolled = features.add_rolling(panel, windows=(7,))
+        assert sorted(map(tuple, features.add_rolling(again, windows=(7,)).select(*rolled.columns).collect())) == sorted(map(tuple, rolled.collect()))
+    finally:
+        spark.conf.unset("spark.sql.legacy.bucketedTableScan.outputOrdering")
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+        spark.sql("drop table if exists series_of_test")
+        spark.sql("drop table if exists other_of_test")
