@@ -461,6 +461,14 @@ def f15_rows(spark, folder):
     )
 
 
+@query("F15_forecast_from_trees")
+def f15_trees(spark, folder):
+    """Tweedie points of both kinds of trees, bands of the quantile trees."""
+    trained = _trained(spark, folder) | {"learned": _learned(spark, folder)[0]}
+    history, oil, holidays = trained["inputs"]
+    return rounded(forecast(history, src.future(spark, folder), trained, oil, holidays, check_grain=False))
+
+
 # The last days of the panel come to the state twice: as new days with wrong sales, then corrected.
 STATE_DAYS = 20
 STATE_LAGS = [k for k in features.LAGS if k >= src.HORIZON]

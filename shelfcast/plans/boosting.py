@@ -164,6 +164,13 @@ class Model:
             [[Tree(**t) for t in trees] for trees in found["trees"]], found["history"],
         )
 
+    def only(self, name: str) -> Model:
+        """The model of one booster."""
+        at = [b.name for b in self.boosters].index(name)
+        lists = (self.start, self.trees, self.history)
+        start, trees, history = ([x[at]] for x in lists)
+        return Model([self.boosters[at]], self.edges, start, trees, history)
+
     def predict(self, features: Column) -> Column:
         """Struct of one prediction per booster, on the scale of the label."""
         model = self

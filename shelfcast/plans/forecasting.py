@@ -42,7 +42,7 @@ def future_features(history: DataFrame, future: DataFrame, columns, oil=None, ho
 
 def forecast(history: DataFrame, future: DataFrame, trained: dict, oil=None, holidays=None, horizon: int = 30,
              weights=None, name: str = "ensemble", check_grain: bool = True, cols: PanelColumns = PANEL) -> DataFrame:
-    """Point and P10/P50/P90 forecasts of the future rows; ``level`` says whose residuals made the band."""
+    """Point and P10/P50/P90 forecasts of the future rows; ``level`` says whose residuals made the band (or "trees")."""
     if check_grain:
         require_daily_grain(history, cols)
     rows = future_features(history, future, trained["columns"], oil, holidays, horizon, cols)
@@ -59,9 +59,15 @@ def forecast_from_state(state: DataFrame, future: DataFrame, trained: dict, oil=
 
 
 def _banded(features: DataFrame, trained: dict, weights, name: str, cols: PanelColumns) -> DataFrame:
-    from shelfcast.plans.training import assemble, ensemble_predict
+    from shelfcast.plans.training import PREDICTION, apply_learners, assemble, ensemble_predict, learned_bands
 
     rows = assemble(features, trained["columns"], cols)
+    if trained.get("learned"):
+        found = apply_learners(trained["learned"], rows, weights)
+        quantiles = [F.col(c).alias(q) for c, q in zip(learned_bands(), bands.QUANTILES)]
+        return found.select(
+            *cols.grain, F.col(PREDICTION).alias("forecast"), *quantiles, F.lit("trees").alias("level"), F.lit(name).alias("model")
+        )
     points = ensemble_predict(trained["models"], rows, weights, cols)
     banded = bands.residual_quantiles(points, trained["offsets"], cols.series)
     return banded.select(

@@ -13,7 +13,7 @@ import json
 import math
 import random
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Model, PipelineModel
@@ -205,10 +205,15 @@ def learners(**settings) -> list[boosting.Booster]:
     return [
         boosting.Booster("by_level", **common),
         boosting.Booster("by_leaf", **common | {"depth": common["depth"] + 1, "leaves": LEAVES, "top_rows": 0.2, "rows": 0.4}),
-        *[boosting.Booster(f"p{round(q * 100)}", "pinball", quantile=q, **common | {"depth": 4}) for q in BAND_QUANTILES],
+        *[boosting.Booster(n, "pinball", quantile=q, **common | {"depth": 4}) for n, q in zip(learned_bands(), BAND_QUANTILES)],
     ]
 
 
+def learned_bands() -> list[str]:
+    """Names of the quantile models."""
+    return [f"p{round(q * 100)}" for q in BAND_QUANTILES]
+
+
 def _with_block(matrix: DataFrame, block) -> DataFrame:
     return matrix.withColumn("_block", block).withColumn("_x", vector_to_array(FEATURES))
 
@@ -219,19 +224,45 @@ def fit_learners(matrix: DataFrame, boosters=None, cols: PanelColumns = PANEL) -
     return boosting.fit(require_rows(_with_block(matrix, number)), boosters or learners(), "_x", LABEL, "_block", list(cols.grain))
 
 
-def apply_learners(model: boosting.Model, rows: DataFrame) -> DataFrame:
-    """``rows`` with a column per point model and their mean as prediction, and ordered bands; nothing is negative."""
-    low, middle, high = (f"p{round(q * 100)}" for q in BAND_QUANTILES)
+def apply_learners(model: boosting.Model, rows: DataFrame, weights=None) -> DataFrame:
+    """``rows`` with a column per point model and their weighted mean as prediction, and ordered bands; nothing is negative."""
+    low, middle, high = learned_bands()
     scored = rows.withColumn("_m", model.predict(vector_to_array(FEATURES)))
     points = [b.name for b in model.boosters if b.loss != "pinball"]
     found = [F.greatest(F.col(f"_m.{n}"), F.lit(0.0)).alias(n) for n in points]
     band = F.array_sort(F.array(*[F.greatest(F.col(f"_m.{n}"), F.lit(0.0)) for n in (low, middle, high)]))
     scored = scored.select(*[F.col(c) for c in rows.columns], *found, band.alias("_band"))
-    mean = sum((F.col(n) for n in points), F.lit(0.0)) / len(points)
+    share = bands.ensemble_weights(points, weights)
+    mean = sum((F.col(n) * F.lit(share[n]) for n in points), F.lit(0.0))
     ordered = [F.get("_band", k).alias(n) for k, n in enumerate((low, middle, high))]
     return scored.select("*", mean.alias(PREDICTION), *ordered).drop("_band")
 
 
+@dataclass(frozen=True)
+class Learner:
+    """One point model of :func:`fit_learners` with the ``transform`` of a Spark model."""
+
+    model: boosting.Model
+    name: str
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        found = self.model.only(self.name).predict(vector_to_array(FEATURES))
+        return rows.withColumn(PREDICTION, found[self.name])
+
+
+def save_learners(model: boosting.Model, path: str, spark: SparkSession, columns, metrics: dict | None = None) -> str:
+    """Persist the models of one pass with their feature list and metrics."""
+    row = (model.to_json(), list(columns), json.dumps(metrics or {}))
+    info = spark.createDataFrame([row], "model string, features array<string>, metrics string")
+    info.coalesce(1).write.mode("overwrite").json(path)
+    return path
+
+
+def load_learners(path: str, spark: SparkSession) -> boosting.Model:
+    """Models saved by :func:`save_learners`."""
+    return boosting.Model.from_json(spark.read.schema("model string").json(path).first()["model"])
+
+
 def boosted_backtest(matrix: DataFrame, n_splits: int = 5, horizon: int = 30, min_train_frac: float = 0.5, cols: PanelColumns = PANEL,
                      **settings) -> DataFrame:
     """Rolling backtest of the Tweedie trees; one pass over the matrix a tree level trains all folds.
@@ -462,13 +493,19 @@ def model_info(path: str, spark: SparkSession) -> DataFrame:
 
 def train(panel: DataFrame, oil=None, holidays=None, transactions=None, horizon: int = 30, trees: dict | None = None,
           forest: dict | None = None, weights=None, backtest_splits: int = 0, save_to: str | None = None,
-          check_grain: bool = True, cols: PanelColumns = PANEL, backtest_model: str = "boosted") -> dict:
+          check_grain: bool = True, cols: PanelColumns = PANEL, backtest_model: str = "boosted", learner: str = "mllib") -> dict:
     """Split, fit boosted trees and forest, learn residual quantiles, report on the last slice.
 
     Trees stop on one slice, bands are learnt on the next and all is reported on the last.
     ``backtest_splits`` adds a rolling backtest of the boosted trees, or of the forest with
     ``backtest_model="forest"``; ``save_to`` a folder with the models.
+
+    ``learner="histogram"`` trains Tweedie trees grown by level and best-first and a tree model per band
+    quantile in one pass (:func:`fit_learners`, whose settings ``trees`` then are) in place of the two;
+    forecasts take their bands from the quantile models, and all backtest folds share one pass.
     """
+    if learner not in ("mllib", "histogram"):
+        raise ValueError(f"unknown learner {learner}")
     factories = {"boosted": lambda: early_stopped(**(trees or {})), "forest": lambda: random_forest(**(forest or {}))}
     if backtest_model not in factories:
         raise ValueError(f"unknown backtest model {backtest_model}")
@@ -477,25 +514,35 @@ def train(panel: DataFrame, oil=None, holidays=None, transactions=None, horizon:
     features = model_features(panel, oil, holidays, transactions, horizon, cols=cols)
     columns = feature_columns(features, cols)
     matrix = training_matrix(features, columns, cols=cols)
-    models = {
-        "boosted": fit_boosted(matrix, **(trees or {})),
-        "forest": fit(random_forest(**(forest or {})), matrix.where(F.col("slice") == "train")),
-    }
-    held = durable(
-        ensemble_predict(models, matrix.where(F.col("slice") != "train"), weights, cols).drop(FEATURES)
-    )
+    later = matrix.where(F.col("slice") != "train")
+    if learner == "histogram":
+        learned = fit_learners(matrix, learners(**(trees or {})), cols)
+        models = {b.name: Learner(learned, b.name) for b in learned.boosters if b.loss != "pinball"}
+        held = durable(apply_learners(learned, later, weights).drop(FEATURES))
+    else:
+        models = {
+            "boosted": fit_boosted(matrix, **(trees or {})),
+            "forest": fit(random_forest(**(forest or {})), matrix.where(F.col("slice") == "train")),
+        }
+        held = durable(ensemble_predict(models, later, weights, cols).drop(FEATURES))
     calibration = durable(residuals(held.where(F.col("slice") == "calibrate"), cols))
     offsets = bands.pooled_offsets(calibration, cols.series)
     report = held.where(F.col("slice") == "report")
     metrics = score(report, ("mae", "rmse", "mape", "wmape", "r2"))
-    extra = {}
-    if backtest_splits:
-        extra["backtest"] = rolling_backtest(matrix, factories[backtest_model], backtest_splits, horizon, cols=cols)
-    if save_to:
-        spark = panel.sparkSession
-        extra["saved"] = {
-            n: save_model(m, f"{save_to.rstrip('/')}/{n}", spark, n, columns, metrics) for n, m in models.items()
-        }
+    extra, spark = {}, panel.sparkSession
+    if learner == "histogram":
+        extra["learned"] = learned
+        if backtest_splits:
+            extra["backtest"] = boosted_backtest(matrix, backtest_splits, horizon, cols=cols, **(trees or {}))
+        if save_to:
+            extra["saved"] = {"learners": save_learners(learned, f"{save_to.rstrip('/')}/learners", spark, columns, metrics)}
+    else:
+        if backtest_splits:
+            extra["backtest"] = rolling_backtest(matrix, factories[backtest_model], backtest_splits, horizon, cols=cols)
+        if save_to:
+            extra["saved"] = {
+                n: save_model(m, f"{save_to.rstrip('/')}/{n}", spark, n, columns, metrics) for n, m in models.items()
+            }
     return extra | {
         "models": models,
         "columns": columns,

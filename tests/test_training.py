@@ -254,3 +254,36 @@ def test_backtest_of_all_folds_in_one_pass(trained, monkeypatch):
 def test_cut_history(panel):
     cut = history_with_future(panel, panel.limit(0), rows=60)
     assert [r["count"] for r in cut.groupBy("store_nbr").count().collect()] == [60, 60]
+
+
+@pytest.fixture(scope="module")
+def learned(panel, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("learners"))
+    settings = {"rounds": 4, "depth": 3, "step": 0.5}
+    return training.train(panel, horizon=14, trees=settings, learner="histogram", backtest_splits=2, save_to=folder, weights={"by_level": 3})
+
+
+def test_histogram_learners_in_the_job(learned, panel, spark):
+    report = learned["matrix"].where("slice = 'report'")
+    mean = learned["matrix"].where("slice = 'train'").agg(F.avg("label")).scalar()
+    assert learned["metrics"]["wmape"] < training.score(report.withColumn("prediction", mean))["wmape"]
+    assert [r.fold for r in learned["backtest"].orderBy("fold").collect()] == [1, 2]
+    again = training.load_learners(learned["saved"]["learners"], spark)
+    assert again == learned["learned"]
+    one = {(r.date, r.store_nbr): r for r in training.apply_learners(again, report, {"by_level": 3}).collect()}
+    both = training.ensemble_predict(learned["models"], report, {"by_level": 3})
+    for r in both.collect():
+        row = one[r.date, r.store_nbr]
+        assert r.prediction == pytest.approx(row.prediction) == pytest.approx(0.75 * row.by_level + 0.25 * row.by_leaf)
+
+
+def test_forecast_from_histogram_learners(learned, panel):
+    rows = forecast(panel, _future(panel), learned, horizon=14).collect()
+    assert len(rows) == 28 and {r.level for r in rows} == {"trees"}
+    assert all(0 <= r.forecast_lo <= r.forecast_md <= r.forecast_hi for r in rows)
+    assert any(r.forecast_lo < r.forecast_hi for r in rows)
+
+
+def test_unknown_learner(panel):
+    with pytest.raises(ValueError, match="unknown learner"):
+        training.train(panel, learner="other")
