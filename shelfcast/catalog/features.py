@@ -102,6 +102,21 @@ def w3(spark, folder):
     return rounded(features.add_rolling(src.panel(spark, folder), fill=False).select(*ID, *ROLL_NAMES))
 
 
+WIDE = (182, 365)
+WIDE_NAMES = [f"sales_rolling_{name}_{n}" for n in WIDE for name, _ in STATS]
+
+
+@query(
+    "W3_rolling_wide",
+    with_(
+        [src.PANEL, f"p AS (SELECT date, store_nbr, family, {roll_sql('ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING', 0, WIDE)} FROM panel)"],
+        f"SELECT {KEYS}, {', '.join(r(c, c) for c in WIDE_NAMES)} FROM p",
+    ),
+)
+def w3_wide(spark, folder):
+    return rounded(features.add_rolling_wide(src.panel(spark, folder), windows=WIDE, gap=1).select(*ID, *WIDE_NAMES))
+
+
 PAST_NAMES = [c for c in ROLL_NAMES if c.endswith("_30")]
 
 

@@ -163,6 +163,63 @@ def add_rolling(df: DataFrame, cols: PanelColumns = PANEL, windows=WINDOWS, gap:
     return fill_forward(rolled, [c for c in rolled.columns if c not in df.columns], cols) if fill else rolled
 
 
+def _joined(earlier: str, later: str) -> Column:
+    """Moments and bounds of two neighbouring stretches of rows; a missing stretch has no rows."""
+    a, b = ({f: F.col(c)[f] for f in ("n", "total", "m2", "lo", "hi")} for c in (earlier, later))
+    na, nb = (F.coalesce(x["n"], F.lit(0)) for x in (a, b))
+    both = (na > 0) & (nb > 0)
+    delta = b["total"] / nb - a["total"] / na
+    spread = F.coalesce(a["m2"], F.lit(0.0)) + F.coalesce(b["m2"], F.lit(0.0))
+    return F.struct(
+        (na + nb).alias("n"),
+        F.when(both, a["total"] + b["total"]).otherwise(F.coalesce(a["total"], b["total"])).alias("total"),
+        F.when(both, spread + delta * delta * na * nb / (na + nb)).otherwise(spread).alias("m2"),
+        F.least(a["lo"], b["lo"]).alias("lo"),
+        F.greatest(a["hi"], b["hi"]).alias("hi"),
+    )
+
+
+def add_rolling_wide(df: DataFrame, cols: PanelColumns = PANEL, windows=(365,), gap: int = 0) -> DataFrame:
+    """The columns of :func:`rolling_columns` for wide windows, at a cost that grows with the logarithm of the width.
+
+    Stretches of 1, 2, 4, ... rows up to each row are joined pair by pair, and a window is the few
+    stretches that add up to its width. Frames in turn read every row of the window for every row.
+    Everything shares one partitioning and order. Unknown values are left out, as in frames.
+    """
+    window, kept = series_window(df, cols), df.columns
+    y = F.col(cols.target).cast("double")
+    known = y.isNotNull()
+    one = F.struct(known.cast("long").alias("n"), y.alias("total"), F.when(known, 0.0).alias("m2"), y.alias("lo"), y.alias("hi"))
+    out, level, width = df.withColumn("_s0", one), 0, max(windows)
+    while 2 << level <= width:
+        back = out.withColumn("_back", F.lag(f"_s{level}", 1 << level).over(window))
+        out = back.withColumn(f"_s{level + 1}", _joined("_back", f"_s{level}")).drop("_back")
+        level += 1
+    parts, names = {}, {}
+    for n in windows:
+        offset = gap
+        names[n] = []
+        for k in range(level + 1):
+            if n >> k & 1:
+                name = f"_w{n}_{k}"
+                parts[name] = F.lag(f"_s{k}", offset).over(window) if offset else F.col(f"_s{k}")
+                names[n].append(name)
+                offset += 1 << k
+    out = out.withColumns(parts).drop(*[f"_s{k}" for k in range(level + 1)])
+    found = {}
+    for n, (latest, *earlier) in names.items():
+        for name in earlier:
+            out = out.withColumn(latest, _joined(name, latest)).drop(name)
+        w = F.col(latest)
+        found |= {
+            f"{cols.target}_rolling_mean_{n}": w["total"] / F.nullif(w["n"], F.lit(0)),
+            f"{cols.target}_rolling_std_{n}": F.when(w["n"] > 1, F.sqrt(w["m2"] / (w["n"] - 1))),
+            f"{cols.target}_rolling_min_{n}": w["lo"],
+            f"{cols.target}_rolling_max_{n}": w["hi"],
+        }
+    return out.select(*[F.col(c) for c in kept if c not in found], *[v.alias(c) for c, v in found.items()])
+
+
 def filled_columns(window, columns, start: SeriesStart | None = None) -> dict[str, Column]:
     """Last known value of each column along the window; with a start, of the rows that are whole."""
     seen = {c: F.when(start.whole, F.col(c)) if start else F.col(c) for c in columns}

@@ -191,3 +191,20 @@ def test_series_features_use_no_single_task(make_panel):
 
     plan = engineer(make_panel(40))._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+@pytest.mark.parametrize("gap", [0, 1, 5])
+def test_wide_windows_equal_frames(spark, series, gap):
+    values = [None if i % 7 == 3 or 40 < i < 75 else float(1e6 + (i * i) % 23) for i in range(130)]
+    df = series(values).union(series(values[:3]).withColumn("family", F.lit("B")))
+    widths = (1, 2, 7, 32, 33, 100)
+    names = [f"sales_rolling_{s}_{n}" for n in widths for s in ("mean", "std", "min", "max")]
+    keys = ["family", "date"]
+    frames = features.add_rolling(df, windows=widths, gap=gap, fill=False).orderBy(*keys).select(*names).collect()
+    wide = features.add_rolling_wide(df, windows=widths, gap=gap)
+    assert wide.columns[: len(df.columns)] == df.columns
+    for one, other in zip(frames, wide.orderBy(*keys).select(*names).collect()):
+        for a, b in zip(one, other):
+            assert (a is None and b is None) or a == pytest.approx(b, rel=1e-12, abs=1e-6)
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
