@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +152,38 @@ def test_a_constant_label_grows_nothing(spark):
     x, _ = sample(50)
     assert fit(frame(spark, x, np.full(50, 3.0)), Booster("s", "squared", rounds=3)).trees == [[]]
     assert Tree().scores(np.zeros((2, 1), np.uint8)).tolist() == [0.0, 0.0]
+
+
+def test_places_of_uneven_trees():
+    """Rows in a leaf near the root stay there; pruned children are never reached."""
+    tree = boosting.Tree()
+    left, right = tree.split(0, 1, 3)
+    inner, _ = tree.split(right, 0, 5)
+    tree.split(inner, 2, 1)
+    boosting.prune(tree, {0: 3.0, right: 2.0, inner: 1.0}, 3)
+    bins = np.random.default_rng(5).integers(0, 8, (500, 3)).astype(np.uint8)
+    expected = [left if b[1] <= 3 else tree.left[right] if b[0] <= 5 else tree.right[right] for b in bins]
+    assert tree.places(bins).tolist() == expected
+    assert boosting.Tree().places(bins).tolist() == [0] * 500
+
+
+def test_copies_are_replaced(spark, monkeypatch):
+    """However many trees are grown, one stored copy is kept at a time and none afterwards."""
+    kept, dropped = [], []
+    keep, drop = boosting.stored, boosting.drop_copy
+    monkeypatch.setattr(boosting, "stored", lambda df: kept.append(keep(df)) or kept[-1])
+    monkeypatch.setattr(boosting, "drop_copy", lambda s, path: dropped.append(path) or drop(s, path))
+    monkeypatch.setattr(boosting, "STORE_EVERY", 2)
+    rows = spark.range(400).selectExpr("id", "array(double(id % 7), double(id % 5)) AS x", "double(id % 7 + id % 5) AS y", "0 AS block")
+    model = boosting.fit(rows, [boosting.Booster("a", "squared", rounds=7, depth=2)], "x", "y", "block", ["id"])
+    assert len(model.trees[0]) == 7 and len(kept) == 4
+    assert dropped == [path for _, path in kept]
+    assert not any(Path(path.removeprefix("file:")).exists() for path in dropped)
+
+
+def test_binary_columns_are_read_in_place():
+    """Slices and empty columns of stored rows come back as they were written."""
+    values = np.arange(60, dtype=np.float64).reshape(12, 5)
+    column = boosting._binary(values)
+    assert (boosting._matrix(column.slice(3, 4), np.float64, 5) == values[3:7]).all()
+    assert boosting._matrix(column.slice(0, 0), np.float64, 5).shape == (0, 5)
