@@ -287,3 +287,29 @@ def test_forecast_from_histogram_learners(learned, panel):
 def test_unknown_learner(panel):
     with pytest.raises(ValueError, match="unknown learner"):
         training.train(panel, learner="other")
+
+
+def test_search_finds_each_stop_date_once(trained, monkeypatch):
+    """Trials of a fold share its stop date and its decoded rows, and score as fits alone do."""
+    matrix, seen = trained["matrix"], []
+    original = training.split_dates
+    monkeypatch.setattr(training, "split_dates", lambda *a: seen.append(original(*a)) or seen[-1])
+    ranges = {"maxIter": (2, 4), "maxDepth": (2, 3), "stepSize": (0.1, 0.3)}
+    found = training.tune(matrix, trials=3, folds=2, ranges=ranges).orderBy("trial").collect()
+    assert len(seen) == 2 and matrix.storageLevel.useMemory is False
+    folds = expanding_folds(matrix, 2)
+    for row, settings in zip(found, training.sample_settings(3, ranges=ranges)):
+        alone = [
+            training.score(training.predict(training.fit_fold(training.early_stopped(**settings), f.train(matrix, "date")), f.test(matrix, "date")))["wmape"]
+            for f in folds
+        ]
+        assert row["wmape"] == pytest.approx(sum(alone) / 2, rel=1e-12)
+
+
+def test_backtest_takes_its_stop_date_as_a_value(trained, monkeypatch):
+    """A subquery would run again in every job of a fit."""
+    plans = []
+    original = training.fit
+    monkeypatch.setattr(training, "fit", lambda e, rows: plans.append(rows._jdf.queryExecution().toString()) or original(e, rows))
+    training.rolling_backtest(trained["matrix"], lambda: training.early_stopped(maxIter=2, maxDepth=2), 2, 14).collect()
+    assert len(plans) == 2 and not any("scalar-subquery" in p.lower() for p in plans)
