@@ -118,3 +118,21 @@ def test_forecasts_equal_those_from_the_history(spark, make_panel):
     got = forecast_from_state(series_state(panel, horizon=HORIZON, late=LATE), future, trained, horizon=HORIZON)
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 2 * HORIZON
+
+
+def test_state_and_future_come_from_the_stored_panel(spark, make_panel, monkeypatch):
+    """The queries on the kept state read the tables once, for the stored inputs."""
+    from shelfcast.catalog import forecasting, inputs
+
+    panel, read = make_panel(60), []
+    oil = spark.createDataFrame([(DAY0, 1.0)], "date date, dcoilwtico double")
+    holidays = spark.createDataFrame([(DAY0, "a", "b", False)], "date date, type string, locale string, transferred boolean")
+    for name, df in (("panel", panel), ("oil", oil), ("holidays", holidays)):
+        monkeypatch.setattr(inputs, name, lambda *_, name=name, df=df: read.append(name) or df)
+    stored = forecasting._inputs(spark, "/nowhere")
+    assert all("parquet" in f for df in stored for f in df.inputFiles()) and all(df.inputFiles() for df in stored)
+    ahead = inputs.future(spark, "/nowhere", 3, stored[0])
+    assert sorted({r["date"] for r in ahead.collect()}) == [DAY0 + timedelta(days=d) for d in (60, 61, 62)]
+    assert ahead.count() == 12 and forecasting._state(stored).count() == 4
+    forecasting.f15_features(spark, "/nowhere").count()
+    assert read == ["panel", "oil", "holidays"] * 2
